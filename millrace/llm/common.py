@@ -76,7 +76,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def shards(df: DataFrame, per_shard: int = 8 << 20) -> int:
     """Shards so that each stands for about per_shard bytes of the stored input; at least the shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(shuffle_partitions(df.sparkSession), min(100_000, size // per_shard))
 
 
