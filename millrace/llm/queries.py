@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, linededup, quality_rules, substring
+from . import chat, fingerprint, linededup, quality_rules, simhash, substring
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark, sf_dir):
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_fingerprints, op7_substring_dedup, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op9_quality_rules, op10_chat_format)}
 ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
