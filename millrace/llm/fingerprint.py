@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lists, pieces, words
+from .common import join_small, lists, pieces, words, written
 
 SHINGLE, K, GROUP_K = 5, 64, 1024
 P = (1 << 61) - 1
@@ -142,7 +142,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's and the group's distinct shingles, and of the document's resemblance to and containment in its group. sketch is comma-separated.
     """
     groups = sketch_groups(docs, group_col, text_col).withColumnRenamed("sketch", "everything")
-    d = sketch(docs, id_col, text_col, group_col).withColumn("grp", F.coalesce("grp", F.lit(""))).withColumnRenamed("sketch", "least").join(groups, "grp")
+    d = sketch(docs, id_col, text_col, group_col).withColumn("grp", F.coalesce("grp", F.lit(""))).withColumnRenamed("sketch", "least")
+    d = join_small(d, written(groups), "grp", "inner", 2000)
     one, all_ = F.col("least"), F.col("everything")
     c = compare(one, all_, K, GROUP_K)
     return d.select(
