@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, linededup, quality_rules, simhash, substring
+from . import chat, fingerprint, linededup, quality_lm, quality_rules, simhash, substring
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op7_substring_dedup(spark, sf_dir):
     return substring.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return quality_lm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("th")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.line_frequency_rules(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
 ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
