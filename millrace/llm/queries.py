@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, linededup, quality_lm, quality_rules, simhash, substring
+from . import bpe, chat, fingerprint, linededup, quality_lm, quality_rules, simhash, substring
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark, sf_dir):
+    return bpe.encode_and_decode(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return linededup.keep_bitmaps(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "keep_runs")
 
@@ -37,5 +41,5 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
 ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
