@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, linededup, quality_lm, quality_rules, simhash, substring
+from . import bpe, chat, fingerprint, licenses, linededup, packing, quality_lm, quality_rules, simhash, substring
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return linededup.keep_bitmaps(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "keep_runs")
 
@@ -25,6 +29,10 @@ def op5_simhash_dedup(spark, sf_dir):
     return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,5 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op6_license_scan, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
 ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
