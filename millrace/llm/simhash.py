@@ -41,7 +41,8 @@ def simhash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both halves of each text's print, and its number of different words.
 
     Words lower-cased, without punctuation at their ends; weights int(16 log2(1 + occurrences)); bit k is whether the weighted sum of the
-    words' hash bits, as signs, is above 0. Sums are of integers, so they don't depend on the order.
+    words' hash bits, as signs, is above 0. Sums are of integers, so they don't depend on the order. Words of punctuation only, such as a
+    table's bars, count only in texts that have no others.
     """
     codes, distinct, off = words(texts, lower=True)
     index: dict[str, int] = {}
@@ -55,6 +56,9 @@ def simhash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = key % max(len(index), 1)
     at = np.searchsorted(key // max(len(index), 1), np.arange(n + 1))
     weight = (16 * np.log2(1 + count)).astype(np.int64).astype(np.float32)
+    marks = np.fromiter((not w.strip(_PUNCTUATION) for w in index), bool, len(index))[word]
+    worded = np.bincount((key // max(len(index), 1))[~marks], minlength=n) > 0
+    weight[marks & worded[key // max(len(index), 1)]] = 0
     sums = np.zeros((n, BITS), np.float32)
     for i in range(n):
         if at[i] < at[i + 1]:
