@@ -151,12 +151,17 @@ def _count_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """D for counts of 0, 1, 2, and 3 or more, from the numbers of n-grams that occur 1 to 4 times; 0.5, 1 and 1.5 where those don't give any."""
+    """D for counts of 0, 1, 2, and 3 or more, from the numbers of n-grams that occur 1 to 4 times; 0.5, 1 and 1.5 where those don't give one above 0.
+
+    A discount of 0 would leave nothing for what is unseen: its probability would be 0, and the perplexity infinite.
+    """
+    usual = np.array([0, 0.5, 1, 1.5])
     n1, n2, n3, n4 = (float(x) for x in n)
     if min(n1, n2, n3, n4) <= 0:
-        return np.array([0, 0.5, 1, 1.5])
+        return usual
     y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
+    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.where((d > 0) & (d < [1, 1, 2, 3]), d, usual)
 
 
 @dataclass
