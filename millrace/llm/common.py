@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,20 @@ CHUNK_BYTES = 4 << 20
 _written: set[str] = set()
 
 
+@lru_cache(1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir()
     return path.rstrip("/")
 
 
