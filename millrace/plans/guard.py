@@ -35,7 +35,7 @@ def _kinds(plan) -> set[str]:
     found, todo = set(), [plan]
     while todo:
         p = todo.pop()
-        kind = p.getClass().getSimpleName()
+        kind = p.getClass().getSimpleName().rstrip("$")
         found.add(kind)
         todo += _seq(p.children())
         if kind == "UnresolvedWith":
