@@ -24,7 +24,7 @@ LEAST_CALIBRATING = 30
 PACK_BYTES = 8 << 20
 #: Log probabilities travel as whole numbers of 1/STEPS bit; a perplexity's log is then within 1/1000 bit.
 STEPS = 512
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 
 
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +254,14 @@ def _score(n: int):
         logs = np.empty(len(keys), np.float32)
         logs[np.argsort(_shard(keys, n), kind="stable")] = np.concatenate([*answers, np.empty(0, np.float32)])
         size = np.diff(at) - (ORDER - 1)
-        each = np.concatenate([*[logs[np.searchsorted(keys, k)] for k, _ in _segments(padded, at)], np.empty(0, np.float32)])
-        total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        end = np.cumsum(size)
+        end, sums, pos, total = np.cumsum(size), np.zeros(len(size)), 0, 0.0
+        for k, _ in _segments(padded, at):
+            run = total + np.cumsum(logs[np.searchsorted(keys, k)], dtype=np.float64)
+            i, j = np.searchsorted(end, [pos, pos + len(k)], side="right")
+            sums[i:j] = run[end[i:j] - pos - 1]
+            pos, total = pos + len(k), run[-1] if len(k) else total
         with np.errstate(invalid="ignore"):
-            ppl = -(total[end] - total[end - size]) / size
+            ppl = -np.diff(sums, prepend=0.0) / size
         return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(2).combine_chunks(), t.column(3).combine_chunks(), t.column(4).combine_chunks(), pa.array(size), pa.array(ppl, mask=size == 0)], ["doc_id", "th", "lang", "role", "n_bytes", "log2_ppl"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ from .common import Table, hash64, join_small, mix, pieces, shards, words, writt
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
-_HELD = 3_000_000  # windows that a task holds before it packs them
+_CHUNK = 2 << 20  # bytes of text whose windows are made at once
+_HELD = 500_000  # windows that a task holds before it packs them
 
 
 class Rolling:
@@ -35,13 +36,13 @@ class Rolling:
 def _windows(batches: Iterator[pa.RecordBatch], size: int, of=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hashes, document ids, positions) of the windows of size words; of: chosen starts of a batch's rows."""
     roll = Rolling()
-    for b in pieces(batches):
+    for b in pieces(batches, limit=_CHUNK):
         codes, distinct, off = words(b.column(1))
         h = hash64(distinct)[codes] if distinct else np.empty(0, np.uint64)
         n = np.diff(off)
         count = np.maximum(n - size + 1, 0)
         doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False), count)
-        pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pos = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
         start = pos + np.repeat(off[:-1], count)
         if of is not None:
             chosen = of(b, count)
