@@ -167,7 +167,7 @@ def load(path: str = VOCABULARY) -> tuple[tuple[bytes, int], ...]:
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared.value)
-        for b in pieces(batches, limit=12 << 20):
+        for b in pieces(batches, limit=4 << 20):
             split = b.column(2)
             coded = split.flatten().dictionary_encode()
             off = split.offsets.to_numpy().astype(np.int64)
@@ -203,7 +203,7 @@ def _decode(shared, keep: list[str]):
         for b in batches:
             ids = b.column(b.schema.get_field_index("token_ids"))
             out = []
-            step = 500
+            step = 100
             for i in range(0, b.num_rows, step):
                 part = ids.slice(i, step)
                 tokens = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
