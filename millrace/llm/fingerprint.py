@@ -123,7 +123,8 @@ def compare(a, b, k: int, union_k: int | None = None) -> dict:
     """Columns estimating two sketched sets' resemblance |A∩B|/|A∪B| and containment |A∩B|/|A|, from the least hashes of their union.
 
     The union's sketch has as many hashes as both sketches can vouch for: those not above the last of a full one.
-    Two empty sets resemble fully (1), an empty one is contained (1), in a set an empty one is not.
+    Two empty sets resemble fully (1), an empty one is contained (1), in a set an empty one is not. sampled: how many hashes of A the
+    containment rests on; if A has hashes and none of them counts, its containment is unknown, not 1.
     """
     top = lambda s, n: F.when(F.size(s) >= n, F.element_at(s, -1)).otherwise(F.lit(P))
     limit = F.least(top(a, k), top(b, union_k or k))
@@ -132,6 +133,7 @@ def compare(a, b, k: int, union_k: int | None = None) -> dict:
     return {
         "resemblance": F.when(either > 0, both / either).otherwise(F.lit(1.0)),
         "containment": F.when(F.size(ca) > 0, both / F.size(ca)).otherwise(F.lit(1.0)),
+        "sampled": F.size(ca),
     }
 
 
@@ -152,6 +154,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def source_pairs(docs: DataFrame, text_col: str = "text", group_col: str = "source") -> DataFrame:
+    """One row (source, other, distinct, other_distinct, n_sampled, resemblance, containment) for each ordered pair of distinct groups.
+
+    Estimates from the groups' merged sketches of GROUP_K hashes: each one's distinct shingles, their resemblance, and how much of source is
+    contained in other. n_sampled: the hashes of source that the containment rests on; it is null where source has shingles and none of their
+    hashes is low enough. Null and "" are one group. Rows grow with the square of the groups, not with the documents.
+    """
+    groups = written(sketch_groups(docs, group_col, text_col))
+    one, other = groups.select(F.col("grp").alias("source"), F.col("sketch").alias("a")), groups.select(F.col("grp").alias("other"), F.col("sketch").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    c = compare(a, b, GROUP_K)
+    return one.crossJoin(other).where("source != other").select(
+        "source", "other", F.round(estimate_distinct(a, GROUP_K), 3).alias("distinct"), F.round(estimate_distinct(b, GROUP_K), 3).alias("other_distinct"), c["sampled"].alias("n_sampled"),
+        F.round(c["resemblance"], 9).alias("resemblance"), F.when((F.size(a) == 0) | (c["sampled"] > 0), F.round(c["containment"], 9)).alias("containment"),
+    )
+
+
 _TERMS = " + ".join(f"coalesce(CAST(h[i + {i}] AS HUGEINT), 0) * {MULTIPLIERS[i]} % {P}" for i in range(SHINGLE))
 ORACLE = f"""
 WITH w AS (
@@ -178,3 +197,25 @@ SELECT doc_id, source, CAST(len(a) AS INTEGER) AS n_hashes, array_to_string(a, '
   round(CASE WHEN len(ca) + len(cb) = 0 THEN 1 ELSE n_both / (len(ca) + len(cb) - n_both) END, 9) AS resemblance, round(CASE WHEN len(ca) = 0 THEN 1 ELSE n_both / len(ca) END, 9) AS containment
 FROM n
 """
+PAIRS_ORACLE = f"""
+WITH w AS (
+  SELECT coalesce(source, '') AS source, list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x != ''), lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h
+  FROM documents
+), s AS (
+  SELECT source, h, unnest(CASE WHEN len(h) = 0 THEN [] ELSE generate_series(1, greatest(len(h) - {SHINGLE - 1}, 1)) END) AS i FROM w
+), x AS (
+  SELECT DISTINCT source, CAST(({_TERMS}) % {P} AS BIGINT) AS x FROM s
+), g AS (
+  SELECT source, coalesce(l, []) AS a, CASE WHEN len(l) >= {GROUP_K} THEN l[-1] ELSE {P} END AS top,
+    CASE WHEN len(l) >= {GROUP_K} THEN round(CAST({GROUP_K - 1} AS DOUBLE) * CAST({P} AS DOUBLE) / CAST(l[-1] AS DOUBLE), 3) ELSE coalesce(len(l), 0) END AS n
+  FROM (SELECT DISTINCT source FROM w) LEFT JOIN (SELECT source, list_sort(list(x))[1:{GROUP_K}] AS l FROM x GROUP BY source) USING (source)
+), j AS (
+  SELECT p.source, o.source AS other, p.n, o.n AS other_n, p.a, list_filter(p.a, lambda x: x <= least(p.top, o.top)) AS ca, list_filter(o.a, lambda x: x <= least(p.top, o.top)) AS cb
+  FROM g p JOIN g o ON p.source != o.source
+), n AS (
+  SELECT *, CAST(len(list_intersect(ca, cb)) AS DOUBLE) AS n_both FROM j
+)
+SELECT source, other, CAST(n AS DOUBLE) AS "distinct", CAST(other_n AS DOUBLE) AS other_distinct, CAST(len(ca) AS INTEGER) AS n_sampled,
+  round(CASE WHEN len(ca) + len(cb) = 0 THEN 1 ELSE n_both / (len(ca) + len(cb) - n_both) END, 9) AS resemblance, round(CASE WHEN len(a) = 0 THEN 1 WHEN len(ca) > 0 THEN n_both / len(ca) END, 9) AS containment
+FROM n
+"""

@@ -25,6 +25,10 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_pairs(spark, sf_dir):
+    return fingerprint.source_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark, sf_dir):
     return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
@@ -49,5 +53,5 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_line_dedup, op4_fingerprints, op5_simhash_dedup, op6_license_scan, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
-ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_line_dedup, op4_fingerprints, op4_source_pairs, op5_simhash_dedup, op6_license_scan, op7_substring_dedup, op8_quality_classifier, op9_quality_rules, op10_chat_format)}
+ORACLE_SQL = {"op3_line_dedup": linededup.ORACLE, "op4_fingerprints": fingerprint.ORACLE, "op4_source_pairs": fingerprint.PAIRS_ORACLE, "op7_substring_dedup": substring.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_chat_format": chat.ORACLE}
