@@ -16,12 +16,12 @@ def line_frequency_rules(
     """One row (doc_id, n_lines, n_chars, n_removed, removed_chars, removed, rejected) for each document.
 
     A line is normalised (lower case, runs of blanks as one, none at the ends) and hashed to 128 bits. It goes from
-    all documents of a host in which more than max_docs different texts have it; exact copies of a text count once. A document is
+    all documents of a host in which more than max_docs documents have it, exact copies among them. A document is
     depleted, and rejected, when less than min_kept of its normalised characters stays. removed: the positions
     of its removed lines, ascending, comma-separated.
 
-    Counting is a map-side combined aggregate on (host, line, text), then on (host, line), so a hot line costs a row
-    a task. Only the frequent lines are joined back to their occurrences, of which just positions and lengths move.
+    Counting is an aggregate on (host, line, document), then a map-side combined one on (host, line), so a hot line costs a
+    row a document, then a row a task. Only the frequent lines are joined back to their occurrences, of which just positions and lengths move.
 
     Blank lines aren't counted. A null text counts as empty; a document without any line is depleted. A null host
     counts as the empty one. Rows that repeat an id and its text are one document; a null id is an id. An empty table gives none.
@@ -30,7 +30,7 @@ def line_frequency_rules(
     lines = d.select("doc_id", "host", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     lines = lines.select("doc_id", "host", "th", "pos", F.trim(F.regexp_replace(F.lower("raw"), "[ \t\r]+", " ")).alias("line")).where("line != ''")
     lines = lines.select("doc_id", "host", "th", "pos", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
-    hot = lines.select("host", "h1", "h2", "th").distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
+    hot = lines.select("host", "h1", "h2", "doc_id", "th").distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
     gone = lines.join(hot, ["host", "h1", "h2"]).groupBy("host", "doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("gone"))
     gone = gone.select("host", "doc_id", "th", F.transform("gone", lambda g: g["pos"]).alias("removed"), F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]).alias("removed_chars"))
     whole = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(F.regexp_replace(F.lower(x), "[ \t\r]+", " ")))), lambda n: n > 0)
