@@ -17,6 +17,8 @@ CAPACITY = 2048
 SHARD_PIECES = 1_000_000
 #: Nodes of the search in a shard; beyond them the best packing found so far stands.
 MAX_NODES = 2000
+#: Steps of a node's enumeration without a filling that count as a node.
+STEPS = 10_000
 
 Pattern = tuple[tuple[int, ...], int]  # lengths, falling, and how many bins are filled so
 
@@ -81,55 +83,49 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(counts: dict[int, int], lengths: list[int], room: int, waste: int, most: int) -> list[tuple[int, ...]]:
-    """Fillings of room, falling lengths, that waste at most so much and that no other dominates: those of least waste first, then those of fewer, larger pieces; at most so many.
+def completions(counts: dict[int, int], lengths: list[int], room: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of room, falling lengths, that waste at most so much and that no other dominates: those of least waste first, then those of fewer, larger pieces.
 
-    A filling is dominated if one larger piece that is left fits for one of its pieces, or another piece still fits.
-    Depth first with larger pieces first, so what is found first tends to dominate what comes later.
+    A filling is dominated if one larger piece that is left fits for one of its pieces, or another piece still fits. Each is found when it is asked for;
+    only sums that the lengths left can make are followed. None comes after each STEPS steps without one.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [most * 40]
-
-    def fill(k: int, room_left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= most or steps[0] <= 0:
-            return
-        steps[0] -= 1
-        while k < len(lengths) and lengths[k] > room_left:
-            k += 1
-        extended = False
-        for i in range(k, len(lengths)):
-            x = lengths[i]
-            if counts[x] > chosen.count(x):
-                extended = True
-                fill(i, room_left - x, chosen + (x,))
-                if len(found) >= most or steps[0] <= 0 or (found and found[-1][0] == 0 and not room_left - x):
-                    return
-        if not extended and room_left <= waste and not _dominated(counts, lengths, chosen, room_left):
-            found.append((room_left, chosen))
-
-    fill(0, room, ())
-    return [c for _, c in sorted(found, key=lambda f: (f[0], [-x for x in f[1]]))]
-
-
-def _dominated(counts, lengths, chosen, room_left) -> bool:
-    """Whether a larger piece that is left fits for one of the chosen."""
-    if not room_left:
-        return False
-    rising = lengths[::-1]
-    for x in set(chosen):
-        i, j = bisect.bisect_right(rising, x), bisect.bisect_right(rising, x + room_left)
-        if any(counts[y] > chosen.count(y) for y in rising[i:j]):
-            return True
-    return False
-
-
-def pack(counts: dict[int, int], capacity: int, max_nodes: int = MAX_NODES, width: int = 8) -> tuple[list[Pattern], int]:
+    reach = [1] * (len(lengths) + 1)  # bit r: some of the lengths from k on make r
+    for k in range(len(lengths) - 1, -1, -1):
+        x, r, left, part = lengths[k], reach[k + 1], min(counts[lengths[k]], room // lengths[k]), 1
+        while left:
+            n = min(part, left)
+            r |= r << x * n
+            left, part = left - n, 2 * part
+        reach[k] = r & (1 << room + 1) - 1
+    steps = 0
+    for w in range(min(waste, room) + 1):
+        if not reach[0] >> room - w & 1:
+            continue
+        stack: list[tuple[int, int, tuple[int, ...], int]] = [(0, room - w, (), room + w + 1)]
+        while stack:
+            k, rest, chosen, near = stack.pop()  # near: the least of the longer lengths of which some are left
+            steps += 1
+            if steps >= STEPS:
+                steps = 0
+                yield None
+            if not rest:
+                if k == len(lengths) or lengths[-1] > w:
+                    steps = 0
+                    yield chosen
+                continue
+            x = lengths[k]
+            for n in range(min(counts[x], rest // x) + 1):
+                if reach[k + 1] >> rest - n * x & 1 and (not n or near > x + w) and (x > w or n == counts[x]):
+                    stack.append((k + 1, rest - n * x, chosen + (x,) * n, x if n < counts[x] else near))
+
+
+def pack(counts: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> tuple[list[Pattern], int]:
     """Bins for a histogram of lengths, none above capacity; and a bound that no packing goes below.
 
     Branch and bound by bin completion: at a node the largest piece left gets a bin, completed by each of its undominated fillings,
     least waste first, in as many bins at once as pieces allow (then in one, when the search comes back). A branch ends when
     its waste so far makes as many bins as the best known packing; what is left is also packed by best fit, whose result becomes the best known
-    if it is better. It ends at the bound, or after max_nodes.
+    if it is better. It ends at the bound, when all is searched, or after max_nodes; fillings are made as the search comes to them.
     """
     counts = {x: n for x, n in counts.items() if n > 0}
     if not counts:
@@ -139,10 +135,35 @@ def pack(counts: dict[int, int], capacity: int, max_nodes: int = MAX_NODES, widt
     best = best_fit(counts, capacity)
     size = sum(n for _, n in best)
     nodes = 0
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
+
+    def branches(left: dict[int, int], made: list[Pattern], used: int, wasted: int, allowed: int) -> Iterator[tuple[dict[int, int], list[Pattern], int, int] | None]:
+        largest = max(left)
+        others = {**left, largest: left[largest] - 1}
+        lengths = sorted((x for x, n in others.items() if n and x <= capacity - largest), reverse=True)
+        for filling in completions(others, lengths, capacity - largest, allowed):
+            if filling is None:
+                yield None
+                continue
+            bin_ = (largest, *filling)
+            uses = {x: bin_.count(x) for x in bin_}
+            most = min(left[x] // n for x, n in uses.items())
+            waste = capacity - sum(bin_)
+            for times in dict.fromkeys((most, 1)):
+                if waste * times > allowed:
+                    times = 1
+                after = {x: n - uses.get(x, 0) * times for x, n in left.items()}
+                yield {x: n for x, n in after.items() if n}, made + [(bin_, times)], used + times, wasted + waste * times
+
+    stack: list[Iterator] = [iter([(counts, [], 0, 0)])]
     while stack and size > bound and nodes < max_nodes:
-        left, made, used, wasted = stack.pop()
+        branch = next(stack[-1], stack)
+        if branch is stack:
+            stack.pop()
+            continue
         nodes += 1
+        if branch is None:
+            continue
+        left, made, used, wasted = branch
         if not left:
             if used < size:
                 best, size = made, used
@@ -156,21 +177,7 @@ def pack(counts: dict[int, int], capacity: int, max_nodes: int = MAX_NODES, widt
             best, size = made + rest, used + sum(n for _, n in rest)
             if size <= bound:
                 break
-        largest = max(left)
-        others = {**left, largest: left[largest] - 1}
-        lengths = sorted((x for x, n in others.items() if n and x <= capacity - largest), reverse=True)
-        branches = []
-        for filling in completions(others, lengths, capacity - largest, allowed, width):
-            bin_ = (largest, *filling)
-            uses = {x: bin_.count(x) for x in bin_}
-            most = min(left[x] // n for x, n in uses.items())
-            waste = capacity - sum(bin_)
-            for times in dict.fromkeys((most, 1)):
-                if waste * times > allowed:
-                    times = 1
-                after = {x: n - uses.get(x, 0) * times for x, n in left.items()}
-                branches.append(({x: n for x, n in after.items() if n}, made + [(bin_, times)], used + times, wasted + waste * times))
-        stack += branches[::-1]
+        stack.append(branches(left, made, used, wasted, allowed))
     return best, bound
 
 
