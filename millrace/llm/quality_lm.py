@@ -15,7 +15,7 @@ from .blobs import by_shard, pack, shard_of, unpack
 from .common import Table, as_text, join_small, mix, pieces, shuffle_partitions, text_hash, written
 
 ORDER = 5
-#: The most trusted documents that the model is fitted and calibrated on, those with the least hashes of their ids; one in CALIBRATE of them calibrates only.
+#: The most trusted documents that the model is fitted on, those with the least hashes of their ids; one in CALIBRATE, and all beyond, calibrate only.
 MAX_TRUSTED, CALIBRATE = 1_000_000, 5
 #: A quantile of the calibrating documents' log perplexity in a language; a document is rejected if it exceeds that by more than SLACK of its distance from the median.
 HIGH, SLACK = 0.995, 0.5
@@ -284,20 +284,21 @@ def _score(n: int):
 
 
 def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """(__mr_doc, __mr_role): documents that all their labels call good and not toxic, at most so many; role 1 trains, 2 calibrates."""
+    """(__mr_doc, __mr_role): documents that all their labels call good and not toxic; role 1 trains, at most so many, and all others, 2, calibrate."""
     ids = labels.groupBy(F.col("doc_id").cast("long").alias("__mr_doc")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND __mr_doc IS NOT NULL")
-    ids = ids.withColumn("h", F.xxhash64("__mr_doc")).orderBy("h", "__mr_doc").limit(most)
-    return ids.select("__mr_doc", F.when(F.pmod("h", F.lit(CALIBRATE)) == 0, 2).otherwise(1).alias("__mr_role"))
+    ids = ids.select("__mr_doc", F.xxhash64("__mr_doc").alias("h"))
+    training = ids.where(F.pmod("h", F.lit(CALIBRATE)) != 0).orderBy("h", "__mr_doc").limit(most).select(F.col("__mr_doc").alias("__mr_trains"))
+    return ids.join(training, F.col("__mr_doc") == F.col("__mr_trains"), "left").select("__mr_doc", F.when(F.col("__mr_trains").isNull(), 2).otherwise(1).alias("__mr_role"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRUSTED) -> DataFrame | None:
-    """(doc_id, th, lang, role, n_bytes, log2_ppl) for each row, written; None if no trusted document is among docs."""
+    """(doc_id, th, lang, role, n_bytes, log2_ppl) for each row, from written scores; None if no trusted document is among docs."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     ids = written(trusted(labels, most))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    # bounded by the documented limit, so it may be broadcast at every size
-    d = d.join(F.broadcast(ids), F.col("doc_id") == F.col("__mr_doc"), "left").select("doc_id", "text", "th", "lang", F.coalesce("__mr_role", F.lit(0)).alias("role"))
+    # bounded by the documented limit, so they may be broadcast at every size; those that calibrate aren't, and are joined to the scores
+    d = d.join(F.broadcast(ids.where("__mr_role = 1")), F.col("doc_id") == F.col("__mr_doc"), "left").select("doc_id", "text", "th", "lang", F.coalesce("__mr_role", F.lit(0)).alias("role"))
     packs = Table(d.mapInArrow(_packs(n), "kind string, pack string, shard int, blob binary"), "kind")
     counted = Table(packs.read().where("kind = 'count'").select("shard", "blob").repartitionById(n, F.col("shard")).mapInArrow(_count_shard, "what int, key long, n long, blob binary"))
     sums = counted.read().where("what >= 0").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas()  # at most 2^16 pairs and 12 numbers
@@ -314,7 +315,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     scored = Table(texts.union(answers).repartition(n, "pack").sortWithinPartitions("pack", "shard").mapInArrow(_score(n), _SCORED))
     packs.drop()
     counted.drop()
-    return scored.read()
+    calibrating = written(ids.where("__mr_role = 2").select("__mr_doc"))
+    s = join_small(scored.read(), calibrating, F.col("doc_id") == F.col("__mr_doc"), "left", 200_000)
+    return s.select("doc_id", "th", "lang", F.when(F.col("__mr_doc").isNotNull(), 2).otherwise(F.col("role")).cast("int").alias("role"), "n_bytes", "log2_ppl")
 
 
 def limits(scored: DataFrame) -> DataFrame:
@@ -328,7 +331,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row (doc_id, th, lang, n_bytes, perplexity, rejected) for each row of docs.
 
     The model is of bytes, order ORDER, interpolated modified Kneser-Ney, over all bytes of the trusted documents: those whose labels all
-    say quality 1 and toxic 0, at most MAX_TRUSTED of them. One in CALIBRATE isn't trained on; the quantile HIGH of these per language, raised by
+    say quality 1 and toxic 0. One in CALIBRATE isn't trained on, nor what is beyond MAX_TRUSTED of the rest; the quantile HIGH of all these per language, raised by
     SLACK, is the limit above which a document is rejected. The perplexity is per byte, over the whole text.
 
     Packs of documents gather their distinct n-grams, all over the corpus; these requests and the training counts are joined shard by shard, a shard having all
