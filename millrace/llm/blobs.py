@@ -29,14 +29,18 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Integers of 32 or 64 bits, compressed; for each column its differences, if they are nearer to zero."""
+    """Integers of 32 or 64 bits, compressed; for each column its differences, if they are nearer to zero; of a column of one value that value and its length."""
     out = [np.array([len(columns)], np.uint32).tobytes()]
     for x in columns:
-        step = np.diff(x, prepend=x.dtype.type(0))
-        best = min(((0, x), (1, step)), key=lambda c: int(np.abs(c[1].astype(np.float64)).sum())) if x.dtype.kind == "i" else (0, x)
-        raw = _planes(best[1])
-        raw = zstandard.compress(raw, 1) if x.dtype.kind == "i" else raw  # hashes don't compress
-        out.append(np.array([best[0] | x.itemsize << 1 | (x.dtype.kind == "i") << 8, len(raw)], np.uint32).tobytes() + raw)
+        signed = x.dtype.kind == "i"
+        if signed and len(x) and (x == x[0]).all():
+            raw, code = np.array([len(x), x[0]], np.int64).tobytes(), 1 << 9
+        else:
+            step = np.diff(x, prepend=x.dtype.type(0))
+            code, best = min(((0, x), (1, step)), key=lambda c: int(np.abs(c[1].astype(np.float64)).sum())) if signed else (0, x)
+            raw = _planes(best)
+            raw = zstandard.compress(raw, 1) if signed else raw  # hashes don't compress
+        out.append(np.array([code | x.itemsize << 1 | signed << 8, len(raw)], np.uint32).tobytes() + raw)
     return b"".join(out)
 
 
@@ -46,6 +50,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         code, size = map(int, np.frombuffer(blob, np.uint32, 2, at))
         raw, at = blob[at + 8 : at + 8 + size], at + 8 + size
         signed, kind = code >> 8 & 1, ("i" if code >> 8 & 1 else "u") + str(code >> 1 & 127)
+        if code >> 9 & 1:
+            length, value = np.frombuffer(raw, np.int64).tolist()
+            out.append(np.full(length, value, kind))
+            continue
         x = _unplanes(zstandard.decompress(raw) if signed else raw, kind)
         out.append(np.cumsum(x, dtype=x.dtype) if code & 1 else x)
     return out
@@ -62,10 +70,9 @@ def by_shard(shard: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([pack([c[i:j] for c in sorted_]) for i, j in zip(start.tolist(), ends)], pa.binary())], ["shard", "blob"])
 
 
-def place_blobs(h: np.ndarray, keep: type, n: int, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blobs of (hash bits below the shard's, document, position); places are in the order of documents."""
-    for b in by_shard(shard_of(h, n), [h.astype(keep), doc.astype(np.int64), pos.astype(np.int32)]):
-        yield b
+def place_blobs(h: np.ndarray, keep: type, n: int, *place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blobs of (hash bits below the shard's, each column of the place); places are in the order of documents."""
+    yield from by_shard(shard_of(h, n), [h.astype(keep), *place])
 
 
 def per_shard(df: DataFrame, n: int, work: Callable[[int, list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

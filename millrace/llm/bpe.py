@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pieces, ragged
+from .common import doc_id, pieces, ragged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before the merges, for Java's regular expressions; \\s stands for Unicode white space.
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(0))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), parts.alias("parts")).mapInArrow(_encode(shared), "doc_id long, text string, token_ids array<int>")
+    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), parts.alias("parts")).mapInArrow(_encode(shared), "doc_id long, text string, token_ids array<int>")
 
 
 def _decode(shared, keep: list[str]):

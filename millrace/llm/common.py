@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that a Python worker handles at a time; a single longer text is one chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: The most bytes of a table that is broadcast, and the rows of a key from which it is handled as a hot one. Both choose a plan, never rows.
+BROADCAST_BYTES, HOT_ROWS = 16 << 20, 200_000
 
 _written: set[str] = set()
 
@@ -82,10 +84,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shards(df: DataFrame, per_shard: int = 8 << 20) -> int:
-    """Shards so that each stands for about per_shard bytes of the stored input; at least the shuffle partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(df.sparkSession), min(100_000, size // per_shard))
+def shards(spark: SparkSession, size: int, per_shard: int) -> int:
+    """Shards of about per_shard, for a measured size; at least the shuffle partitions, which are all that a small input gets."""
+    return max(shuffle_partitions(spark), min(100_000, -(-size // per_shard)))
+
+
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def doc_id(df: DataFrame, name: str) -> Column:
+    """The id as a long. TypeError unless it is of a whole-number type: a string cast to one would fail in the middle of the job, or lose what it says."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} is {kind.simpleString()}; ids are whole numbers")
+    return F.col(name).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed until df has no column that is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_hash(text: str = "text"):
@@ -93,14 +116,36 @@ def text_hash(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows, counted without reading on beyond them."""
-    return df.limit(rows + 1).count() <= rows
+def weight(df: DataFrame) -> int:
+    """Bytes that df's rows take in memory, about."""
+    def of(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.lit(16) + F.coalesce(F.octet_length(name), F.lit(0))
+        if isinstance(kind, T.ArrayType):
+            each = 16 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+            return F.lit(24) + F.greatest(F.size(name), F.lit(0)) * each
+        return F.lit(8)
+
+    row = F.lit(32)
+    for f in df.schema.fields:
+        row += of(f.name, f.dataType)
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def join_small(big: DataFrame, other: DataFrame, on, how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a wide table with a written narrow one: broadcast if it was measured to be of at most so many bytes, else by a hash join that doesn't sort the wide side."""
+    return big.join(F.broadcast(other) if weight(other) <= most else other.hint("shuffle_hash"), on, how)
+
 
+def join_hot(big: DataFrame, keyed: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of two written tables; keyed has a row for each key, and in its column rows how many of big's have it.
 
-def join_small(big: DataFrame, other: DataFrame, on, how: str, rows: int = 2_000_000) -> DataFrame:
-    """Join a wide table with a written narrow one: broadcast if its counted rows are few, else by a hash join that doesn't sort the wide side."""
-    return big.join(F.broadcast(other) if small(other, rows) else other.hint("shuffle_hash"), on, how)
+    Keys with more than HOT_ROWS rows, of which there are at most big's rows / HOT_ROWS, are broadcast, so that none of them makes a task of its own; the others' rows are shuffled.
+    """
+    hot = keyed.where(F.col(rows) > HOT_ROWS)
+    if hot.isEmpty():
+        return big.join(keyed, keys)
+    return big.join(keyed.where(F.col(rows) <= HOT_ROWS), keys).unionByName(big.join(F.broadcast(hot), keys))
 
 
 def as_text(column: pa.Array) -> pa.Array:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_small, lists, pieces, words, written
+from .common import doc_id, join_small, lists, pieces, words, written
 
 SHINGLE, K, GROUP_K = 5, 64, 1024
 P = (1 << 61) - 1
@@ -79,24 +79,37 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     fewer words than a shingle is one shingle; a null text or one without words has an empty sketch. Repeated rows
     each give a row; ids may be null. No shuffle.
     """
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(group_col).cast("string").alias("grp")] if group_col else [])
+    cols = [doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(group_col).cast("string").alias("grp")] if group_col else [])
     return docs.select(*cols).mapInArrow(_sketches(shingle, k), "doc_id long, sketch array<long>" + (", grp string" if group_col else ""))
 
 
+#: Groups that a task holds sketches of before it hands them on: what it needs doesn't grow with the groups.
+_HELD_GROUPS = 2000
+
+
 def _task_sketches(n: int, k: int):
+    def out(best: dict[str, np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(list(best.values())).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), lists(flat, np.concatenate([[0], np.cumsum([len(x) for x in best.values()])]), pa.int64())], ["grp", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str | None, np.ndarray] = {}
+        best: dict[str, np.ndarray] = {}
         for b in pieces(batches, text=0):
             codes, distinct, offsets = words(b.column(0), lower=True)
             hashes, at = shingle_hashes(word_hashes(distinct)[codes] if distinct else np.empty(0, np.uint64), offsets, n)
             group = b.column(1).dictionary_encode("encode")
             of = group.indices.to_numpy(zero_copy_only=False)
             each = np.repeat(of, np.diff(at))
-            for g, name in enumerate(group.dictionary.to_pylist()):
-                best[name] = bottom(np.concatenate([best.get(name, np.empty(0, np.uint64)), bottom(hashes[each == g], k)]), k)
+            by = hashes[np.argsort(each, kind="stable")]
+            end = np.cumsum(np.bincount(each, minlength=len(group.dictionary)))
+            for name, i, j in zip(group.dictionary.to_pylist(), [0, *end.tolist()], end.tolist()):
+                mine = bottom(by[i:j], k)
+                best[name] = bottom(np.concatenate([best[name], mine]), k) if name in best else mine
+            if len(best) > _HELD_GROUPS:
+                yield out(best)
+                best = {}
         if best:
-            flat = np.concatenate(list(best.values())).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), lists(flat, np.concatenate([[0], np.cumsum([len(x) for x in best.values()])]), pa.int64())], ["grp", "sketch"])
+            yield out(best)
 
     return run
 
@@ -145,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     groups = sketch_groups(docs, group_col, text_col).withColumnRenamed("sketch", "everything")
     d = sketch(docs, id_col, text_col, group_col).withColumn("grp", F.coalesce("grp", F.lit(""))).withColumnRenamed("sketch", "least")
-    d = join_small(d, written(groups), "grp", "inner", 2000)
+    d = join_small(d, written(groups), "grp", "inner")
     one, all_ = F.col("least"), F.col("everything")
     c = compare(one, all_, K, GROUP_K)
     return d.select(

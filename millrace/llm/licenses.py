@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, words
+from .common import doc_id, pieces, words
 from .license_texts import TEMPLATES
 
 MIN_MATCH = 3
@@ -196,6 +196,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shuffle: the automaton, of fixed size, is built once a worker.
     """
     fixed = tuple((str(n), str(t)) for n, t in templates)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _scan(fixed), "doc_id long, license string, template int, start_token int, end_token int, covered_tokens int, coverage double"
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, join_small, pieces, shuffle_partitions, text_hash, written
+from .common import as_text, doc_id, fresh, join_small, pieces, shuffle_partitions, text_hash, written
 
 _EDGE = " \t\r"
 _LOCAL = 400_000  # lines that a task remembers for its own dedup before it starts afresh
@@ -98,10 +98,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and position behind it; a stream over the sorted rows keeps the first of each run. No text is shuffled.
 
     Blank lines always stay. A null text counts as empty: one blank line, kept. A null id sorts before all others.
-    Rows that repeat an id and its text are one document. Other columns are not read. An empty table gives none.
+    Rows that repeat an id and its text are one document. Ids of another than a whole-number type are a TypeError. Other columns are not read. An empty table gives none.
     """
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).mapInArrow(
+    rows = docs.select(doc_id(docs, id_col).alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).mapInArrow(
         _line_rows, "h1 long, h2 long, doc long, th long, pos int, n int"
     )
     part = F.least(F.lit(n - 1), F.floor((F.col("h1") / F.lit(2.0**64) + 0.5) * n)).cast("int")
@@ -120,23 +120,23 @@ def apply_runs(text: str, runs: str) -> str:
     return "\n".join(out)
 
 
-def _cut(text: str):
+def _cut(text: str, column: str):
     def cut(batches):
         for b in batches:
             at = b.schema.get_field_index(text)
-            runs = b.column("__mr_runs").to_pylist()
+            runs = b.column(column).to_pylist()
             new = [t if r is None or t is None else apply_runs(t, r) for t, r in zip(b.column(text).to_pylist(), runs)]
-            yield b.set_column(at, b.schema.field(text), pa.array(new, b.schema.field(text).type)).drop_columns(["__mr_runs"])
+            yield b.set_column(at, b.schema.field(text), pa.array(new, b.schema.field(text).type)).drop_columns([column])
 
     return cut
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the lines dropped that keep_bitmaps drops; documents left blank go (null texts with them)."""
-    changed = written(keep_bitmaps(docs, id_col, text_col).where("n_kept < n_lines").select(F.col("doc_id").alias("__mr_doc"), F.col("th").alias("__mr_th"), F.col("keep_runs").alias("__mr_runs")))
-    both = docs.withColumn("__mr_key", text_hash(text_col))
-    joined = join_small(both, changed, F.col(id_col).eqNullSafe(F.col("__mr_doc")) & (F.col("__mr_key") == F.col("__mr_th")), "left").drop("__mr_doc", "__mr_th", "__mr_key")
-    return joined.mapInArrow(_cut(text_col), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
+    """docs, all columns, with the lines dropped that keep_bitmaps drops; documents left blank go (null texts with them). Columns of any name may be there."""
+    doc, th, runs, key = fresh(docs, "__doc", "__th", "__runs", "__key")
+    changed = written(keep_bitmaps(docs, id_col, text_col).where("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("keep_runs").alias(runs)))
+    joined = join_small(docs.withColumn(key, text_hash(text_col)), changed, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
+    return joined.mapInArrow(_cut(text_col, runs), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
 
 
 ORACLE = """

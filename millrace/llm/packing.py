@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import text_hash, written
+from .common import doc_id, text_hash, written
 
 CAPACITY = 2048
 #: Pieces that are packed together; a larger table has more such shards, each packed for itself.
@@ -237,7 +237,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hash of the text, then piece. An empty table gives no rows; other columns are not read.
     """
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
-    d = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), n_words.alias("words")).where("words > 0"))
+    d = written(docs.select(doc_id(docs, id_col).alias("doc_id"), text_hash(text_col).alias("th"), n_words.alias("words")).where("words > 0"))
     rest = F.col("words") % capacity
     n = d.agg(F.count(F.when(rest > 0, 1))).first()[0]
     shards = max(1, -(-n // shard_pieces))

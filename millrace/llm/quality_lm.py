@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import by_shard, pack, shard_of, unpack
-from .common import Table, as_text, join_small, mix, pieces, shuffle_partitions, text_hash, written
+from .common import Table, as_text, doc_id, fresh, join_small, mix, pieces, shuffle_partitions, text_hash, written
 
 ORDER = 5
 #: The most trusted documents that the model is fitted on, those with the least hashes of their ids; one in CALIBRATE, and all beyond, calibrate only.
@@ -285,7 +285,7 @@ def _score(n: int):
 
 def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     """(__mr_doc, __mr_role): documents that all their labels call good and not toxic; role 1 trains, at most so many, and all others, 2, calibrate."""
-    ids = labels.groupBy(F.col("doc_id").cast("long").alias("__mr_doc")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND __mr_doc IS NOT NULL")
+    ids = labels.groupBy(doc_id(labels, "doc_id").alias("__mr_doc")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND __mr_doc IS NOT NULL")
     ids = ids.select("__mr_doc", F.xxhash64("__mr_doc").alias("h"))
     training = ids.where(F.pmod("h", F.lit(CALIBRATE)) != 0).orderBy("h", "__mr_doc").limit(most).select(F.col("__mr_doc").alias("__mr_trains"))
     return ids.join(training, F.col("__mr_doc") == F.col("__mr_trains"), "left").select("__mr_doc", F.when(F.col("__mr_trains").isNull(), 2).otherwise(1).alias("__mr_role"))
@@ -296,7 +296,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     ids = written(trusted(labels, most))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    d = docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     # bounded by the documented limit, so they may be broadcast at every size; those that calibrate aren't, and are joined to the scores
     d = d.join(F.broadcast(ids.where("__mr_role = 1")), F.col("doc_id") == F.col("__mr_doc"), "left").select("doc_id", "text", "th", "lang", F.coalesce("__mr_role", F.lit(0)).alias("role"))
     packs = Table(d.mapInArrow(_packs(n), "kind string, pack string, shard int, blob binary"), "kind")
@@ -316,7 +316,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     packs.drop()
     counted.drop()
     calibrating = written(ids.where("__mr_role = 2").select("__mr_doc"))
-    s = join_small(scored.read(), calibrating, F.col("doc_id") == F.col("__mr_doc"), "left", 200_000)
+    s = join_small(scored.read(), calibrating, F.col("doc_id") == F.col("__mr_doc"), "left")
     return s.select("doc_id", "th", "lang", F.when(F.col("__mr_doc").isNotNull(), 2).otherwise(F.col("role")).cast("int").alias("role"), "n_bytes", "log2_ppl")
 
 
@@ -344,17 +344,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     scored = perplexities(docs, labels, id_col, text_col, lang_col, most)
     if scored is None:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), (F.coalesce(F.length(text_col), F.lit(0)) == 0).alias("rejected"))
+        return docs.select(doc_id(docs, id_col).alias("doc_id"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), (F.coalesce(F.length(text_col), F.lit(0)) == 0).alias("rejected"))
     found = written(limits(scored))
     every = found.where("lang IS NULL").agg(F.max("most").alias("m0"))
     own = found.where("lang IS NOT NULL").withColumnRenamed("lang", "__mr_lang")
-    s = join_small(scored, own, F.col("lang") == F.col("__mr_lang"), "left", 10_000).crossJoin(F.broadcast(every))  # one row
+    s = join_small(scored, own, F.col("lang") == F.col("__mr_lang"), "left").crossJoin(F.broadcast(every))  # one row
     inside = F.col("log2_ppl") <= F.coalesce("most", "m0", F.lit(1e300))
     return s.select("doc_id", "th", "lang", "n_bytes", F.pow(F.lit(2.0), "log2_ppl").alias("perplexity"), (~F.coalesce(inside, F.lit(False))).alias("rejected"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs, all columns, without the rows that classify rejects."""
-    gone = written(classify(docs, labels, id_col, text_col, lang_col).where("rejected").select(F.col("doc_id").alias("__mr_doc"), F.col("th").alias("__mr_th")).distinct())
-    keyed = docs.withColumn("__mr_key", text_hash(text_col))
-    return join_small(keyed, gone, F.col(id_col).eqNullSafe(F.col("__mr_doc")) & (F.col("__mr_key") == F.col("__mr_th")), "left_anti").drop("__mr_key")
+    """docs, all columns of any name, without the rows that classify rejects."""
+    doc, th, key = fresh(docs, "__doc", "__th", "__key")
+    gone = written(classify(docs, labels, id_col, text_col, lang_col).where("rejected").select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct())
+    return join_small(docs.withColumn(key, text_hash(text_col)), gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left_anti").drop(key)

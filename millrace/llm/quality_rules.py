@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_hash
+from .common import doc_id, text_hash
 
 MAX_DOCS = 10
 MIN_KEPT = 0.3
@@ -26,7 +26,7 @@ def line_frequency_rules(
     Blank lines aren't counted. A null text counts as empty; a document without any line is depleted. A null host
     counts as the empty one. Rows that repeat an id and its text are one document; a null id is an id. An empty table gives none.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_hash(text_col).alias("th"))
+    d = docs.select(doc_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_hash(text_col).alias("th"))
     lines = d.select("doc_id", "host", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     lines = lines.select("doc_id", "host", "th", "pos", F.trim(F.regexp_replace(F.lower("raw"), "[ \t\r]+", " ")).alias("line")).where("line != ''")
     lines = lines.select("doc_id", "host", "th", "pos", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))

@@ -30,7 +30,7 @@ def op4_source_pairs(spark, sf_dir):
 
 
 def op5_simhash_dedup(spark, sf_dir):
-    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep", "n_links")
 
 
 def op6_license_scan(spark, sf_dir):
@@ -38,7 +38,7 @@ def op6_license_scan(spark, sf_dir):
 
 
 def op7_substring_dedup(spark, sf_dir):
-    return substring.repeated_spans(_table(spark, sf_dir, "documents"))
+    return substring.repeated_spans(_table(spark, sf_dir, "documents")).drop("th", "first_th")
 
 
 def op8_quality_classifier(spark, sf_dir):

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import SCHEMA, by_shard, groups, per_shard, place_blobs
-from .common import Table, hash64, join_small, mix, pieces, shards, words, written
+from .common import doc_id, fresh, hash64, join_small, mix, pieces, shards, text_bytes, text_hash, words, written
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
+SHARD_BYTES = 16 << 20  # bytes of text whose windows a shard holds, about
 _CHUNK = 2 << 20  # bytes of text whose windows are made at once
 _HELD = 500_000  # windows that a task holds before it packs them
 
@@ -33,21 +34,22 @@ class Rolling:
         return mix((total[starts + size] - total[starts]) * self.down[starts])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int, of=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, document ids, positions) of the windows of size words; of: chosen starts of a batch's rows."""
+def _windows(batches: Iterator[pa.RecordBatch], size: int, of=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hashes, document ids, tags, positions) of the windows of size words; of: chosen starts of a batch's rows."""
     roll = Rolling()
     for b in pieces(batches, limit=_CHUNK):
         codes, distinct, off = words(b.column(1))
         h = hash64(distinct)[codes] if distinct else np.empty(0, np.uint64)
         n = np.diff(off)
         count = np.maximum(n - size + 1, 0)
-        doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False), count)
+        row = np.repeat(np.arange(b.num_rows), count)
         pos = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
         start = pos + np.repeat(off[:-1], count)
         if of is not None:
             chosen = of(b, count)
-            doc, pos, start = doc[chosen], pos[chosen], start[chosen]
-        yield roll(h, start, size), doc, pos
+            row, pos, start = row[chosen], pos[chosen], start[chosen]
+        doc, tag = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+        yield roll(h, start, size), doc[row], tag[row], pos
 
 
 def _packed(windows, keep: type, n: int) -> Iterator[pa.RecordBatch]:
@@ -63,19 +65,19 @@ def _packed(windows, keep: type, n: int) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(held, keep, n):
-    h, doc, pos = (np.concatenate(c) for c in zip(*held))
-    return h, keep, n, doc, pos
+    h, *place = (np.concatenate(c) for c in zip(*held))
+    return h, keep, n, *place
 
 
 def _hits(block: int):
     def work(_, columns) -> Iterator[pa.RecordBatch]:
-        h, doc, pos = columns
+        h, doc, tag, pos = columns
         order, new, group = groups(h)
         size = np.bincount(group)
         indexed = np.bincount(group, weights=pos[order] % block == 0) > 0
         hit = order[(size[group] > 1) & indexed[group]]
         for i in range(0, len(hit), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit[i : i + 200_000]]), pa.array(pos[hit[i : i + 200_000]])], ["doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit[i : i + 200_000]]) for x in (doc, tag, pos)], ["doc", "tag", "pos"])
 
     return work
 
@@ -86,7 +88,7 @@ def _candidates(size: int, block: int):
     def of(b: pa.RecordBatch, count: np.ndarray) -> np.ndarray:
         at = np.concatenate([[0], np.cumsum(count)])
         change = np.zeros(at[-1] + 1, np.int32)
-        hits = b.column(2)
+        hits = b.column(3)
         flat = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(b.num_rows), np.diff(hits.offsets.to_numpy()))
         flat, row = flat[count[row] > 0], row[count[row] > 0]
@@ -99,44 +101,53 @@ def _candidates(size: int, block: int):
 
 def _repeats(n: int):
     def work(_, columns) -> Iterator[pa.RecordBatch]:
-        h, doc, pos = columns
-        order, new, group = groups(h, doc, pos)
-        doc, pos = doc[order], pos[order]
+        h, doc, tag, pos = columns
+        order, new, group = groups(h, doc, tag, pos)
+        doc, tag, pos = doc[order], tag[order], pos[order]
         first = np.flatnonzero(new)[group]
-        later = (doc != doc[first]) | (pos != pos[first])
-        d, p, fd, fp = doc[later], pos[later], doc[first][later], pos[first][later]
-        o = np.lexsort((p, fd, d))
-        d, p, fd, fp = d[o], p[o], fd[o], fp[o]
-        to = ((mix(d.astype(np.uint64)) >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-        yield from by_shard(to, [d, p, fd, p - fp])
+        later = (doc != doc[first]) | (tag != tag[first]) | (pos != pos[first])
+        d, t, p, fd, ft, fp = doc[later], tag[later], pos[later], doc[first][later], tag[first][later], pos[first][later]
+        o = np.lexsort((p, ft, fd, t, d))
+        d, t, p, fd, ft, fp = (x[o] for x in (d, t, p, fd, ft, fp))
+        to = ((mix((d ^ t).astype(np.uint64)) >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+        yield from by_shard(to, [d, t, p, fd, ft, p - fp])
 
     return work
 
 
 def _spans(size: int):
     def work(_, columns) -> Iterator[pa.RecordBatch]:
-        d, p, fd, diagonal = columns
-        o = np.lexsort((p, diagonal, fd, d))
-        d, p, fd, diagonal = d[o], p[o], fd[o], diagonal[o]
+        d, t, p, fd, ft, diagonal = columns
+        o = np.lexsort((p, diagonal, ft, fd, t, d))
+        d, t, p, fd, ft, diagonal = (x[o] for x in (d, t, p, fd, ft, diagonal))
         new = np.ones(len(d), bool)
         # rows that repeat give a window twice: a step of 0 goes on as one of 1 does
-        new[1:] = (d[1:] != d[:-1]) | (fd[1:] != fd[:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] - p[:-1] > 1)
+        new[1:] = (p[1:] - p[:-1] > 1)
+        for x in (d, t, fd, ft, diagonal):
+            new[1:] |= x[1:] != x[:-1]
         start = np.flatnonzero(new)
         end = np.concatenate([start[1:], [len(d)]]) - 1
         for i in range(0, len(start), 100_000):
             s, e = start[i : i + 100_000], end[i : i + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d[s]), pa.array(p[s]), pa.array(p[e] - p[s] + np.int32(size)), pa.array(fd[s]), pa.array(p[s] - diagonal[s])],
-                ["doc_id", "start_word", "n_words", "first_doc_id", "first_start_word"],
+                [pa.array(d[s]), pa.array(t[s]), pa.array(p[s]), pa.array(p[e] - p[s] + np.int32(size)), pa.array(fd[s]), pa.array(ft[s]), pa.array(p[s] - diagonal[s])],
+                ["doc_id", "th", "start_word", "n_words", "first_doc_id", "first_th", "first_start_word"],
             )
 
     return work
 
 
+def _tag(docs: DataFrame, id_col: str, text_col: str):
+    """What tells texts with the same id apart: nothing (0) if all ids have one text each, else the text's hash."""
+    th = docs.select(doc_id(docs, id_col).alias("doc"), text_hash(text_col).alias("th")).where("doc IS NOT NULL")
+    several = not th.groupBy("doc").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty()
+    return text_hash(text_col) if several else F.lit(0).cast("long")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row (doc_id, start_word, n_words, first_doc_id, first_start_word) for each maximal exact repeat of at least min_words words.
+    """One row (doc_id, th, start_word, n_words, first_doc_id, first_th, first_start_word) for each maximal exact repeat of at least min_words words.
 
-    A passage repeats what occurs in a document with a lower id, or earlier in its own. Words are what ASCII white space
+    A passage repeats what occurs in an earlier document, by id and then hash of the text, or earlier in its own. Words are what ASCII white space
     separates, compared exactly. Each window of min_words words is referred to its first occurrence; windows in a row
     that keep the distance to the same document are one repeat, extended as far as that holds. A repeat may overlap its first occurrence (text
     that cycles): less its repeats, one cycle of it stays.
@@ -146,18 +157,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shard (4 bytes of hash and about 2 of place each), and both sides of a match are hits. Around hits every window of min_words words
     is hashed with 64 bits besides the shard's, and grouped. All window hashes, over whole texts, take part; there is no cap.
 
-    Rows with a null id are not searched, null texts have no words. Rows with the same id are one document: repeated rows repeat nothing. An
+    Rows with a null id are not searched, null texts have no words. Rows that repeat an id and its text are one document and repeat nothing; an id
+    with several texts is several documents, and th and first_th, else 0, are their hashes. Ids of another than a whole-number type are a TypeError. An
     empty table gives no rows; other columns are not read.
     """
     block = (min_words + 1) // 2
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    n = shards(d)
+    d = docs.select(doc_id(docs, id_col).alias("doc"), F.col(text_col).alias("text"), _tag(docs, id_col, text_col).alias("tag")).where("doc IS NOT NULL AND text IS NOT NULL")
+    n = shards(docs.sparkSession, text_bytes(d), SHARD_BYTES)
     probes = d.mapInArrow(lambda batches: _packed(_windows(batches, block), np.uint32, n), SCHEMA)
-    hits = written(per_shard(probes, n, _hits(block), "doc long, pos int").groupBy(F.col("doc").alias("__mr_doc")).agg(F.collect_list("pos").alias("__mr_hits")))
-    near = join_small(d, hits, d["doc"] == F.col("__mr_doc"), "inner", 500_000).select("doc", "text", "__mr_hits")
+    hits = per_shard(probes, n, _hits(block), "doc long, tag long, pos int").groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list("pos").alias("__hits"))
+    near = join_small(d, written(hits), (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), "inner").select("doc", "text", "tag", "__hits")
     found = near.mapInArrow(lambda batches: _packed(_windows(batches, min_words, _candidates(min_words, block)), np.uint64, n), SCHEMA)
     later = per_shard(found, n, _repeats(n), SCHEMA)
-    return per_shard(later, n, _spans(min_words), "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
+    return per_shard(later, n, _spans(min_words), "doc_id long, th long, start_word int, n_words int, first_doc_id long, first_th long, first_start_word int")
 
 
 _WORD = re.compile(r"[^ \t\n\v\f\r]+")
@@ -178,21 +190,23 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def _cutter(text: str):
+def _cutter(text: str, spans: str):
     def cut(batches):
         for b in batches:
-            spans = b.column("__mr_spans").to_pylist()
-            new = [t if s is None or t is None else cut_spans(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(b.column(text).to_pylist(), spans)]
-            yield b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(new, b.schema.field(text).type)).drop_columns(["__mr_spans"])
+            gone = b.column(spans).to_pylist()
+            new = [t if s is None or t is None else cut_spans(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(b.column(text).to_pylist(), gone)]
+            yield b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(new, b.schema.field(text).type)).drop_columns([spans])
 
     return cut
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns, without the words that repeated_spans lists; documents of which nothing is left go (null texts with them)."""
-    spans = written(repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias("__mr_doc")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__mr_spans")))
-    joined = join_small(docs, spans, F.col(id_col) == F.col("__mr_doc"), "left").drop("__mr_doc")
-    return joined.mapInArrow(_cutter(text_col), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
+    """docs, all columns, without the words that repeated_spans lists; documents of which nothing is left go (null texts with them). Columns of any name may be there."""
+    doc, th, gone, key = fresh(docs, "__doc", "__th", "__spans", "__key")
+    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(gone))
+    keyed = docs.withColumn(key, _tag(docs, id_col, text_col))
+    joined = join_small(keyed, written(spans), (F.col(id_col) == F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
+    return joined.mapInArrow(_cutter(text_col, gone), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
 
 
 ORACLE = f"""
