@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -127,34 +129,62 @@ class Scanner:
         by: dict[int, list] = {}
         for k, a, i, n in matches:
             by.setdefault(k, []).append((i, a, n))
-        found = []
-        for k, chunks in by.items():
-            chunks.sort()
-            while chunks:
-                best = [n for _, _, n in chunks]
-                back = [-1] * len(chunks)
-                for y, (i, a, n) in enumerate(chunks):
-                    for x in range(y - 1, -1, -1):
-                        j, b, m = chunks[x]
-                        if b >= a or j >= i or i - (j + m) > MAX_GAP:
-                            continue
-                        gain = n - max(0, j + m - i, b + m - a)
-                        if gain > 0 and best[x] + gain > best[y]:
-                            best[y], back[y] = best[x] + gain, x
-                top = max(range(len(chunks)), key=lambda y: (best[y], -y))
-                if best[top] < MIN_COVERAGE * len(self.sequences[k]):
-                    break
-                first = top
-                while back[first] >= 0:
-                    first = back[first]
-                start, end = chunks[first][0], chunks[top][0] + chunks[top][2]
-                found.append((start, end, k, best[top]))
-                chunks = [c for c in chunks if c[0] >= end or c[0] + c[2] <= start]
+        found = [(*span[:2], k, span[2]) for k, chunks in by.items() for span in chains(sorted(chunks), MIN_COVERAGE * len(self.sequences[k]))]
         kept: list = []
         for s in sorted(found, key=lambda s: (-s[3], -s[3] / len(self.sequences[s[2]]), s[0], s[2])):
-            if all(s[1] <= o[0] or s[0] >= o[1] for o in kept):
-                kept.append(s)
-        return sorted(kept)
+            at = bisect.bisect_left(kept, s[:2])
+            if (not at or kept[at - 1][1] <= s[0]) and (at == len(kept) or kept[at][0] >= s[1]):
+                kept.insert(at, s)
+        return kept
+
+
+def chains(chunks: list[tuple[int, int, int]], least: float) -> Iterator[tuple[int, int, int]]:
+    """(start, end, covered) of the chains that cover at least so many of a template's tokens: the best, then the best of what lies clear of it, and so on.
+
+    chunks are (text position, template position, length), sorted. As matches can't be longer at their ends, those that begin later end later, and a chunk's
+    predecessors, which end at most MAX_GAP before it, are the chunks just before it. When a chain is taken, only those to its right whose
+    predecessors have changed are computed again. So the work is in proportion to the chunks, times those within MAX_GAP of one.
+    """
+    size = len(chunks)
+    starts, ends = [c[0] for c in chunks], [c[0] + c[2] for c in chunks]
+    best, back, alive = [0] * size, [-1] * size, [True] * size
+    heap: list[tuple[int, int]] = []
+
+    def compute(y: int) -> bool:
+        i, a, n = chunks[y]
+        top, before = n, -1
+        for x in range(y - 1, bisect.bisect_left(ends, i - MAX_GAP) - 1, -1):
+            j, b, m = chunks[x]
+            if alive[x] and b < a and j < i:
+                gain = n - max(0, j + m - i, b + m - a)
+                if gain > 0 and best[x] + gain > top:
+                    top, before = best[x] + gain, x
+        changed = top != best[y] or before != back[y]
+        best[y], back[y] = top, before
+        if changed and top >= least:
+            heapq.heappush(heap, (-top, y))
+        return changed
+
+    for y in range(size):
+        compute(y)
+    while heap:
+        covered, top = heapq.heappop(heap)
+        if not alive[top] or best[top] != -covered:
+            continue
+        first = top
+        while back[first] >= 0:
+            first = back[first]
+        start, end = starts[first], ends[top]
+        yield start, end, -covered
+        x, reach = bisect.bisect_right(ends, start), end
+        while x < size and starts[x] < end:
+            alive[x] = False
+            reach = max(reach, ends[x])
+            x += 1
+        while x < size and starts[x] <= reach + MAX_GAP:
+            if compute(x):
+                reach = max(reach, ends[x])
+            x += 1
 
 
 @lru_cache(2)
@@ -187,15 +217,19 @@ def _scan(templates: tuple[tuple[str, str], ...]):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row (doc_id, license, template, start_token, end_token, covered_tokens, coverage) for each span of a text that covers a template.
 
-    Tokens are words, separated by ASCII white space, lower-case, without punctuation at their ends. Each whole text is streamed through the
-    generalised suffix automaton of all templates; its matching statistics give the matches of at least MIN_MATCH tokens. For each
+    Tokens are words, separated by ASCII white space, lower-case, without punctuation at their ends. Of each whole text the runs of tokens
+    that templates have, if MIN_MATCH of them in a row are in one, are streamed through the generalised suffix automaton of all templates (there is no match
+    elsewhere); the matching statistics give the matches of at least MIN_MATCH tokens. For each
     template matches in its order, at most MAX_GAP text tokens apart, are chained for the most covered tokens. Chains that cover MIN_COVERAGE of
     the template are spans; where spans overlap the one with more covered tokens stays, then that of higher coverage, then the earlier, then the earlier template.
 
-    Templates of fewer than MIN_MATCH tokens never match. Null and empty texts have no spans. Repeated rows each give theirs; ids may be null. Without rows or spans the result is empty. No
-    shuffle: the automaton, of fixed size, is built once a worker.
+    A template of fewer than MIN_MATCH tokens is a ValueError. Null and empty texts have no spans. Repeated rows each give theirs; ids may be null, and have to
+    be of a whole-number type (else a TypeError). Without rows or spans the result is empty. No shuffle: the automaton, of fixed size, is built once a worker.
     """
     fixed = tuple((str(n), str(t)) for n, t in templates)
+    for n, t in fixed:
+        if len(t.split()) < MIN_MATCH:
+            raise ValueError(f"a template of {n} has fewer than {MIN_MATCH} tokens: {t!r}")
     return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _scan(fixed), "doc_id long, license string, template int, start_token int, end_token int, covered_tokens int, coverage double"
     )
