@@ -7,15 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_id, text_hash, written
+from .common import doc_id, join_small, written
 
 CAPACITY = 2048
-#: Pieces that are packed together; a larger table has more such shards, each packed for itself.
-SHARD_PIECES = 1_000_000
-#: Nodes of the search in a shard; beyond them the best packing found so far stands.
+#: Nodes of the search; beyond them the best packing found so far stands, and n_bins and min_bins say how near it is.
 MAX_NODES = 2000
 #: Steps of a node's enumeration without a filling that count as a node.
 STEPS = 10_000
@@ -181,77 +180,100 @@ def pack(counts: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> t
     return best, bound
 
 
-def _pack_shard(capacity: int, max_nodes: int):
-    def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0]
-        patterns, bound = pack(dict(zip(t.column("length").to_pylist(), t.column("n").to_pylist())), capacity, max_nodes)
-        # places of each length: pieces ranked first_rank .. first_rank + bins * repeat - 1 fill these bins
+def _search(capacity: int, max_nodes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        for b in batches:
+            counts |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if not counts:
+            return
+        patterns, bound = pack(counts, capacity, max_nodes)
+        # places of each length: pieces ranked first .. first + bins * each - 1 fill these bins
         place: dict[int, int] = {}
         rows, bin_ = [], 0
         for lengths, n in patterns:
             for x in dict.fromkeys(lengths):
                 k = lengths.count(x)
-                rows.append((x, place.get(x, 0), bin_, n, k, capacity - sum(lengths)))
+                rows.append((x, place.get(x, 0), bin_, k, capacity - sum(lengths)))
                 place[x] = place.get(x, 0) + n * k
             bin_ += n
-        length, first, start, n, k, waste = zip(*rows)
-        m = len(rows)
-        return pa.table({
-            "shard": pa.array([shard.as_py()] * m, pa.int32()), "length": pa.array(length, pa.int32()), "first": pa.array(first, pa.int64()), "bin": pa.array(start, pa.int64()),
-            "bins": pa.array(n, pa.int64()), "each": pa.array(k, pa.int32()), "room": pa.array(waste, pa.int32()), "n_bins": pa.array([bin_] * m, pa.int64()), "bound": pa.array([bound] * m, pa.int64()),
-        })
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] + [pa.array([v] * len(rows), pa.int64()) for v in (bin_, bound)]
+        yield pa.RecordBatch.from_arrays(columns, ["length", "first", "bin", "each", "room", "n_bins", "min_bins"])
 
     return run
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        names = b.schema.names
-        firsts = b.column(names.index("firsts"))
-        rank = b.column(names.index("rank")).to_numpy()
-        at = firsts.offsets.to_numpy().astype(np.int64)
-        flat = {c: b.column(names.index(c)).flatten().to_numpy() for c in ("firsts", "bin0", "bins", "each", "rooms")}
-        size = np.diff(at)
-        at = at - at[0]
-        # the last place list entry that begins at or before the rank
-        i = np.array([s + np.searchsorted(flat["firsts"][s : s + n], r, side="right") - 1 for s, n, r in zip(at[:-1].tolist(), size.tolist(), rank.tolist())], np.int64)
-        bin_ = flat["bin0"][i] + (rank - flat["firsts"][i]) // flat["each"][i]
-        yield pa.RecordBatch.from_arrays(
-            [*[b.column(names.index(c)) for c in ("shard", "doc_id", "piece", "start", "length")], pa.array(bin_, pa.int64()), pa.array(flat["rooms"][i], pa.int32())],
-            ["shard", "doc_id", "piece", "start", "length", "bin", "room"],
-        )
-
-
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, max_nodes: int = MAX_NODES) -> DataFrame:
-    """One row (shard, bin, doc_id, piece, start, length, room) for each piece: where in which training sequence it goes. room is what its bin leaves free.
+def _numbered(capacity: int):
+    """Each document with what it needs to be placed without a sort: its part, the full pieces before it there, and the rests of its rest's length before it there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, full, seen = TaskContext.get().partitionId(), 0, np.zeros(capacity, np.int64)
+        for b in batches:
+            words = b.column(1).to_numpy().astype(np.int64)
+            rest, whole = words % capacity, words // capacity
+            order = np.argsort(rest, kind="stable")
+            r = rest[order]
+            start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.empty(0, np.int64)
+            size = np.diff(np.concatenate([start, [len(r)]]))
+            rank = np.empty(len(r), np.int64)
+            rank[order] = np.arange(len(r)) - np.repeat(start, size) + seen[r]
+            seen[r[start]] += size
+            before = full + np.cumsum(whole) - whole
+            full += int(whole.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), part, np.int32)), b.column(0), pa.array(words), pa.array(before), pa.array(rank)], ["part", "doc_id", "words", "full", "rests"])
+
+    return run
+
+
+def _assign(capacity: int, shared):
+    """The bin of each piece, from its rank among those of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, n_bins, min_bins, n_full = shared.value
+        key = places[:, 0] << 40 | places[:, 1]
+        for b in batches:
+            length, rank = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
+            at = np.searchsorted(key, length << 40 | rank, side="right") - 1
+            whole = length == capacity
+            bin_, room = n_bins + rank, np.zeros(len(rank), np.int32)
+            at = at[~whole]
+            bin_[~whole] = places[at, 2] + (rank[~whole] - places[at, 1]) // places[at, 3]
+            room[~whole] = places[at, 4]
+            total = [pa.array(np.full(len(rank), n + n_full, np.int64)) for n in (n_bins, min_bins)]
+            yield pa.RecordBatch.from_arrays([pa.array(bin_), *[b.column(k) for k in range(4)], pa.array(room), *total], ["bin", "doc_id", "piece", "start", "length", "room", "n_bins", "min_bins"])
+
+    return run
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> DataFrame:
+    """One row (bin, doc_id, piece, start, length, room, n_bins, min_bins) for each piece: where in which training sequence it goes. room is what its bin leaves free.
 
     Lengths are words, separated by ASCII white space. A document longer than capacity is cut into pieces of capacity words and a rest; start is
-    a piece's first word. Full pieces are bins by themselves. The rest is packed by bin completion, over the histogram of
-    lengths, at most capacity numbers however many documents there are; then pieces of a length take that length's places in the order of ids.
-    Each shard of about shard_pieces pieces, by hash of ids, is packed for itself, in parallel; bin is unique in its shard.
+    a piece's first word. Full pieces are bins by themselves. All rests are packed together by bin completion, over the histogram of their
+    lengths: fewer than capacity numbers, so the search is one task whose size doesn't depend on the documents' number. Its bins are patterns
+    with multiplicities, bounded likewise and broadcast; pieces of a length take that length's places in the order in which they are read. Each part of the
+    table numbers its pieces by itself, and counts by (part, length) say where it begins: nothing is sorted, and a length that all documents have is no hot group.
 
-    Packing is NP-hard: it is optimal where it meets its lower bound, else the best found in max_nodes nodes, never worse than best-fit
-    decreasing. Texts without words and null texts have no piece. Ids may be null; repeated rows are pieces of their own. Ties go by id, then
-    hash of the text, then piece. An empty table gives no rows; other columns are not read.
+    Packing is NP-hard: it is optimal if n_bins, all bins, is min_bins, below which no packing goes; else it is the best found in max_nodes nodes, never worse
+    than best-fit decreasing. Texts without words and null texts have no piece. Ids may be null, and have to be of a whole-number type (else a TypeError);
+    repeated rows are pieces of their own. Which of the pieces of a length goes where is a tie that reading order decides. An empty table gives no rows; other columns are not read.
     """
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
-    d = written(docs.select(doc_id(docs, id_col).alias("doc_id"), text_hash(text_col).alias("th"), n_words.alias("words")).where("words > 0"))
-    rest = F.col("words") % capacity
-    n = d.agg(F.count(F.when(rest > 0, 1))).first()[0]
-    shards = max(1, -(-n // shard_pieces))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int"))
-    whole = d.where(F.col("words") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor(F.col("words") / capacity).cast("int") - 1)))
-    whole = whole.select("shard", F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.hex("th"), F.lit("-"), F.col("piece").cast("string")).alias("bin"), "doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).alias("length"), F.lit(0).alias("room"))
-    p = d.where(rest > 0).select("shard", "doc_id", "th", F.floor(F.col("words") / capacity).cast("int").alias("piece"), rest.cast("int").alias("length"))
-    p = p.withColumn("start", F.col("piece") * capacity)
-    places = p.groupBy("shard", "length").agg(F.count("*").alias("n")).groupBy("shard").applyInArrow(
-        _pack_shard(capacity, max_nodes), "shard int, length int, first long, bin long, bins long, each int, room int, n_bins long, bound long"
-    )
-    places = written(places)
-    lists = places.groupBy("shard", "length").agg(F.array_sort(F.collect_list(F.struct("first", "bin", "bins", "each", "room"))).alias("l"))
-    lists = lists.select("shard", "length", *[F.col("l")[c].alias(a) for c, a in (("first", "firsts"), ("bin", "bin0"), ("bins", "bins"), ("each", "each"), ("room", "rooms"))])
-    ranked = p.withColumn("rank", (F.row_number().over(Window.partitionBy("shard", "length").orderBy("doc_id", "th", "piece")) - 1).cast("long")).drop("th")
-    found = ranked.join(lists, ["shard", "length"]).mapInArrow(_assign, "shard int, doc_id long, piece int, start int, length int, bin long, room int")
-    return found.select("shard", F.col("bin").cast("string").alias("bin"), "doc_id", "piece", "start", "length", "room").union(whole.select("shard", "bin", "doc_id", "piece", "start", "length", "room"))
+    words = docs.select(doc_id(docs, id_col).alias("doc_id"), n_words.alias("words")).where("words > 0")
+    d = written(words.mapInArrow(_numbered(capacity), "part int, doc_id long, words long, full long, rests long"))
+    pieces = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)))
+    start = F.col("piece").cast("long") * capacity
+    length = F.least(F.lit(capacity), F.col("words") - start).cast("int")
+    pieces = pieces.select("part", "doc_id", "piece", start.cast("int").alias("start"), length.alias("length"), F.when(length == capacity, F.col("full") + F.col("piece")).otherwise(F.col("rests")).alias("k"))
+    counts = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
+    every = counts.groupBy("length").agg(F.sum("n").alias("n"))
+    found = written(every.where(F.col("length") < capacity).coalesce(1).mapInArrow(_search(capacity, max_nodes), "length long, first long, bin long, each long, room long, n_bins long, min_bins long"))
+    rows = sorted(tuple(r) for r in found.collect())  # patterns, of which there are a few times capacity at most
+    n_bins, min_bins = rows[0][5:] if rows else (0, 0)
+    n_full = every.where(F.col("length") == capacity).agg(F.sum("n")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([r[:5] for r in rows], np.int64).reshape(-1, 5), n_bins, min_bins, n_full))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(counts.select(F.col("part").alias("__part"), F.col("length").alias("__length"), before.alias("before")))
+    ranked = join_small(pieces, offsets, (F.col("part") == F.col("__part")) & (F.col("length") == F.col("__length")), "inner")
+    ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("k") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(_assign(capacity, shared), "bin long, doc_id long, piece int, start int, length int, room int, n_bins long, min_bins long")
