@@ -16,7 +16,8 @@ from .common import doc_id, pieces, ragged
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before the merges, for Java's regular expressions; \\s stands for Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-_NONE = np.int64(1 << 40)
+_NONE = np.int32((1 << 31) - 1)
+_SLICE = 2 << 20  # bytes of text whose pairs are indexed together: an index of a whole partition would grow with it
 
 
 class Vocabulary:
@@ -30,10 +31,10 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(whole), np.uint8)
         self.length = np.array([len(t) for t in whole], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {(self.ranks[t[:k]] << 32) | self.ranks[t[k:]]: i for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self.pair = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[p] for p in self.pair.tolist()], np.int64)
+        self.pair_rank = np.array([pairs[p] for p in self.pair.tolist()], np.int32)
         # most lookups end here: a bit for each hash of a pair that can be merged
         self.sieve = np.zeros(1 << 24, bool)
         self.sieve[self._hash(self.pair)] = True
@@ -42,9 +43,12 @@ class Vocabulary:
     def _hash(pair: np.ndarray) -> np.ndarray:
         return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << 32 | right
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NONE for those that don't merge."""
-        key = left << 32 | right
         out = np.full(len(key), _NONE)
         may = np.flatnonzero(self.sieve[self._hash(key)])
         at = np.minimum(np.searchsorted(self.pair, key[may]), len(self.pair) - 1)
@@ -65,8 +69,8 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after the other, and each word's number of tokens.
 
-        An index maps the rank of each pair that occurs to the positions of its left parts, in all words. The least active rank is applied to all its
-        positions at once; pairs that this makes join the lists of theirs, so that a rank may become active. Positions whose pair has changed since are passed over.
+        An index maps each pair that occurs to the positions of its left parts, in all words. Active ranks are applied in ascending order, the least to all positions of its
+        pairs at once; pairs that this makes join their lists, so that a rank may become active. Positions whose pair has changed since are passed over.
         """
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -74,40 +78,43 @@ class Vocabulary:
         if not n:
             return sym, size
         # neighbours; n is none
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         last = (np.cumsum(size) - 1)[size > 0]
         first = (np.cumsum(size) - size)[size > 0]
         after[last], before[first] = n, n
-        after = np.append(after, n)
-        before = np.append(before, n)
+        after[n], before[n] = n, n
         alive = np.ones(n, bool)
         rank = np.full(n + 1, _NONE)
         inner = np.flatnonzero(after[:n] < n)
-        rank[inner] = self.rank(sym[inner], sym[inner + 1])
+        rank[inner] = self.rank(self.pairs(sym[inner], sym[inner + 1]))
         index: dict[int, list[np.ndarray]] = {}
+        active: dict[int, list[int]] = {}
         heap: list[int] = []
 
         def add(at: np.ndarray) -> None:
-            r = rank[at]
-            order = np.argsort(r, kind="stable")
-            at, r = at[order], r[order]
-            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
-            bounds = [0, *cut.tolist(), len(at)]
-            for i, j, key in zip(bounds, bounds[1:], r[np.array(bounds[:-1])].tolist()):
-                have = index.get(key)
-                if have is None:
-                    index[key] = [at[i:j]]
-                    heapq.heappush(heap, key)
-                else:
+            key = self.pairs(sym[at], sym[after[at]])
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(at)]])
+            for i, j, pair, r in zip(bounds.tolist(), bounds[1:].tolist(), key[bounds[:-1]].tolist(), rank[at[bounds[:-1]]].tolist()):
+                have = index.get(pair)
+                if have is not None:
                     have.append(at[i:j])
+                    continue
+                index[pair] = [at[i:j]]
+                if r in active:
+                    active[r].append(pair)
+                else:
+                    active[r] = [pair]
+                    heapq.heappush(heap, r)
 
-        start = inner[rank[inner] < _NONE]
+        start = inner[rank[inner] < _NONE].astype(np.int32)
         if len(start):
             add(start)
         odd: list[np.ndarray] = []
         while heap:
             now = heapq.heappop(heap)
-            lists = index.pop(now)
+            lists = [at for pair in active.pop(now) for at in index.pop(pair)]
             at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
             at = at[rank[at] == now]
             if len(at) > 1 and (at[1:] == after[at[:-1]]).any():  # overlapping: from the left, each part once
@@ -116,7 +123,7 @@ class Vocabulary:
                     if i != end:
                         chosen.append(i)
                         end = j
-                at = np.array(chosen)
+                at = np.array(chosen, np.int32)
             if not len(at):
                 continue
             right = after[at]
@@ -129,8 +136,8 @@ class Vocabulary:
             prev = before[at]
             a, p = at[nxt < n], at[prev < n]
             rank[at] = _NONE
-            rank[a] = self.rank(sym[a], sym[after[a]])
-            rank[prev[prev < n]] = self.rank(sym[prev[prev < n]], sym[p])
+            rank[a] = self.rank(self.pairs(sym[a], sym[after[a]]))
+            rank[prev[prev < n]] = self.rank(self.pairs(sym[prev[prev < n]], sym[p]))
             rank[n] = _NONE
             fresh = np.concatenate([a, prev[prev < n]])
             fresh = fresh[rank[fresh] < _NONE]
@@ -145,12 +152,13 @@ class Vocabulary:
             redo = np.unique(word[np.concatenate(odd)])
             each = np.split(tokens, np.cumsum(count)[:-1])
             for w in redo.tolist():
-                each[w] = np.array(self.encode_word(words[w]), np.int64)
+                each[w] = np.array(self.encode_word(words[w]), np.int32)
             tokens, count = np.concatenate(each), np.array([len(e) for e in each])
         return tokens, count
 
     def decode(self, tokens: np.ndarray) -> bytes:
-        return self.flat[ragged(self.start[tokens], self.length[tokens])].tobytes()
+        parts = (tokens[i : i + 100_000] for i in range(0, len(tokens), 100_000))
+        return b"".join(self.flat[ragged(self.start[t], self.length[t])].tobytes() for t in parts)
 
 
 @lru_cache(2)
@@ -164,37 +172,57 @@ def load(path: str = VOCABULARY) -> tuple[tuple[bytes, int], ...]:
         return tuple((base64.b64decode(a), int(b)) for a, b in map(bytes.split, f))
 
 
+def _token_ids(v: Vocabulary, b: pa.RecordBatch) -> pa.Array:
+    """Token ids of a slice's texts (column 1), whose pre-tokens have the lengths in column 2: these are read where they lie in the text."""
+    text, sizes = b.column(1), b.column(2)
+    offsets, data = text.buffers()[1:]
+    at = np.frombuffer(offsets, np.int32)[text.offset : text.offset + b.num_rows + 1].astype(np.int64)
+    size = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    off = sizes.offsets.to_numpy().astype(np.int64)
+    off -= off[0]
+    end = at[0] + np.concatenate([[0], np.cumsum(size)])
+    if not (end[off] == at).all():
+        raise ValueError("the pattern has to cover each text from end to end")
+    coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(end.astype(np.int32)), data or pa.py_buffer(b"")]).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    tokens, count = v.encode_words(coded.dictionary.to_pylist())
+    start = np.cumsum(count) - count
+    flat = tokens[ragged(start[code], count[code])]
+    ends = np.concatenate([[0], np.cumsum(count[code])])[off]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()), mask=text.is_null() if text.null_count else None)
+
+
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared.value)
-        for b in pieces(batches, limit=4 << 20):
-            split = b.column(2)
-            coded = split.flatten().dictionary_encode()
-            off = split.offsets.to_numpy().astype(np.int64)
-            off -= off[0]
-            words = coded.dictionary.cast(pa.binary()).to_pylist()
-            tokens, count = v.encode_words(words)
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            start = np.cumsum(count) - count
-            flat = tokens[ragged(start[code], count[code])].astype(np.int32) if len(code) else np.empty(0, np.int32)
-            end = np.concatenate([[0], np.cumsum(count[code])])[off] if len(code) else np.zeros(b.num_rows + 1, np.int64)
-            null = b.column(1).is_null()
-            ids = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(flat), mask=null) if b.num_rows else None
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["doc_id", "text", "token_ids"])
+        for b in pieces(batches, limit=_SLICE):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _token_ids(v, b)], ["doc_id", "text", "token_ids"])
 
     return run
 
 
+def _split(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(0))
+    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), F.transform(parts, F.octet_length).alias("sizes"))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, text, token_ids) for each row, in its partition: no shuffle.
 
-    The JVM splits texts into pre-tokens; a Python worker encodes the distinct ones of a few megabytes of text at once, with Vocabulary.encode_words, and
-    puts the texts' ids together from them. A null text has null ids, an empty one none. Repeated rows and null ids
-    give a row each; other columns are not read.
+    The JVM splits texts into pre-tokens, by a pattern that covers all of a text (else a ValueError); a Python worker encodes the distinct ones of a few megabytes of text at once, with
+    Vocabulary.encode_words, and puts the texts' ids together from them. A null text has null ids, an empty one none. Repeated rows and null ids
+    give a row each; ids of another than a whole-number type are a TypeError; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
-    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(0))
-    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), parts.alias("parts")).mapInArrow(_encode(shared), "doc_id long, text string, token_ids array<int>")
+    return _split(docs, id_col, text_col, pattern).mapInArrow(_encode(shared), "doc_id long, text string, token_ids array<int>")
+
+
+def _texts(v: Vocabulary, ids: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all lists, one after the other, and where each begins and ends."""
+    tokens = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.concatenate([[0], np.cumsum(v.length[tokens])])
+    n = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    return v.decode(tokens), size[np.concatenate([[0], np.cumsum(n)])]
 
 
 def _decode(shared, keep: list[str]):
@@ -206,11 +234,8 @@ def _decode(shared, keep: list[str]):
             step = 100
             for i in range(0, b.num_rows, step):
                 part = ids.slice(i, step)
-                tokens = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = np.concatenate([[0], np.cumsum(v.length[tokens])])
-                raw = v.decode(tokens)
-                n = np.array([0 if x is None else x for x in pa.compute.list_value_length(part).to_pylist()], np.int64)
-                at = size[np.concatenate([[0], np.cumsum(n)])].tolist()
+                raw, at = _texts(v, part)
+                at = at.tolist()
                 out += [None if null else raw[x:y].decode("utf-8", "replace") for x, y, null in zip(at, at[1:], part.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(out, pa.string())], [*keep, "decoded"])
 
@@ -225,7 +250,27 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return df.mapInArrow(_decode(shared, kept), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row (doc_id, n_chars, n_tokens, token_ids, round_trip) for each row of docs: round_trip, whether decoding gives the text again, null texts null."""
-    d = decode(encode(docs, id_col, text_col, vocabulary), vocabulary)
-    return d.select("doc_id", F.length("text").alias("n_chars"), F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+def _round_trip(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(shared.value)
+        for b in pieces(batches, limit=_SLICE):
+            ids, text = _token_ids(v, b), b.column(1)
+            raw, at = _texts(v, ids)
+            offsets, data = text.buffers()[1:]
+            to = np.frombuffer(offsets, np.int32)[text.offset : text.offset + b.num_rows + 1]
+            own = memoryview(data or b"").cast("B")
+            same = [raw[x:y] == own[i:j] for x, y, i, j in zip(at.tolist(), at[1:].tolist(), to.tolist(), to[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.compute.utf8_length(text), pa.compute.list_value_length(ids), ids, pa.array(same, pa.bool_())], ["doc_id", "n_chars", "n_tokens", "token_ids", "round_trip"]
+            )
+
+    return run
+
+
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """One row (doc_id, n_chars, n_tokens, token_ids, round_trip) for each row of docs: round_trip, whether decoding gives the text's bytes again, which null texts, of null counts and ids, do.
+
+    As encode and decode do it, in one worker: texts go to Python once and don't come back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    return _split(docs, id_col, text_col, pattern).mapInArrow(_round_trip(shared), "doc_id long, n_chars int, n_tokens int, token_ids array<int>, round_trip boolean")
