@@ -10,20 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .blobs import by_shard, pack, shard_of, unpack
-from .common import Table, as_text, doc_id, fresh, join_small, mix, pieces, shuffle_partitions, text_hash, written
+from .common import Table, as_text, doc_id, fresh, join_small, mix, pieces, shards, text_bytes, text_hash, worker, written
 
 ORDER = 5
 #: The most trusted documents that the model is fitted on, those with the least hashes of their ids; one in CALIBRATE, and all beyond, calibrate only.
 MAX_TRUSTED, CALIBRATE = 1_000_000, 5
-#: A quantile of the calibrating documents' log perplexity in a language; a document is rejected if it exceeds that by more than SLACK of its distance from the median.
-HIGH, SLACK = 0.995, 0.5
-#: Calibrating documents below which a language goes by the quantiles of all of them.
-LEAST_CALIBRATING = 30
-PACK_BYTES = 8 << 20
-#: Log probabilities travel as whole numbers of 1/STEPS bit; a perplexity's log is then within 1/1000 bit.
-STEPS = 512
+#: The quantile of the calibrating documents' log perplexity in a language above which a document is rejected, read to the next 1/GRID bit above it.
+HIGH, GRID = 0.995, 4096
+PACK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
 _SEGMENT = 1 << 20
 
 
@@ -61,8 +58,8 @@ def _segments(padded: np.ndarray, at: np.ndarray, chosen: np.ndarray | None = No
 
 
 def _shard(keys: np.ndarray, n: int) -> np.ndarray:
-    """By the last two bytes of the context: all that a probability needs, down to two bytes, is then in one shard."""
-    return shard_of(mix(keys >> np.uint64(8) & np.uint64(0xFFFF)), n)
+    """By the last three bytes of the context: all counts that a probability needs are then in one shard, but for those of three bytes and fewer, which all shards have. A frequent pair of bytes is in many."""
+    return shard_of(mix(keys >> np.uint64(8) & np.uint64(0xFFFFFF)), n)
 
 
 def _distinct(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -126,7 +123,7 @@ def _lower(keys: np.ndarray, bytes_left: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's counts over all packs; for the whole model's discounts how many n-grams of each order occur 1, 2, 3 and 4 times; and the bytes before each pair."""
+    """A shard's counts over all packs; for the whole model's discounts how many n-grams of orders above 3 occur 1, 2, 3 and 4 times; and the bytes before each three, of those that this shard has."""
     keys, counts, shard = np.empty(0, np.uint64), np.empty(0, np.int64), None
     for b in batches:
         parts = [unpack(x.as_buffer().to_pybytes()) for x in b.column(1)]
@@ -136,7 +133,7 @@ def _count_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     kind, key, n = [], [], []
     level, c = keys, counts
-    for order in range(ORDER, 2, -1):
+    for order in range(ORDER, 3, -1):
         for times in range(1, 5):
             kind.append(order)
             key.append(times)
@@ -168,18 +165,31 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Low:
-    """What all shards share, of fixed size: the discounts of each order above 2, and p(byte | byte before)."""
+    """What all shards share: the discounts of each order above 2, p(byte | byte before), and of the distinct runs of three bytes, 2^24 at most, what Level has."""
 
     d: dict[int, np.ndarray]
     p2: np.ndarray
+    three: tuple
 
     @staticmethod
-    def fit(pairs: np.ndarray, times: dict[int, np.ndarray]) -> "Low":
-        """pairs: how many different bytes come before each pair of bytes."""
-        c = pairs.reshape(256, 256).astype(float)
+    def fit(keys: np.ndarray, before: np.ndarray, times: dict[int, np.ndarray]) -> "Low":
+        """keys: runs of three bytes, sorted; before: how many different bytes come before each; times: of each order above 3, how many n-grams occur 1 to 4 times."""
+        pair, n = _lower(keys, 2)
+        c = np.zeros(1 << 16)
+        c[pair.astype(np.int64)] = n
+        c = c.reshape(256, 256)
         singles = (c > 0).sum(0).astype(float)
         p1 = _interpolate(singles[None, :], np.full((1, 256), 1 / 256), discounts(_times(singles)))[0]
-        return Low({k: discounts(n) for k, n in times.items()}, _interpolate(c, np.broadcast_to(p1, (256, 256)), discounts(_times(c))))
+        d = {k: discounts(n) for k, n in times.items()} | {3: discounts(_times(before))}
+        return Low(d, _interpolate(c, np.broadcast_to(p1, (256, 256)), discounts(_times(c))), _level(keys, before, d[3]))
+
+
+def _level(level: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple:
+    """(n-grams, their counts less the discount, contexts, each one's total and the sum of its discounts)."""
+    context, at = np.unique(level >> np.uint64(8), return_index=True)
+    off = d[np.minimum(c, 3)]
+    sums = (np.add.reduceat(c, at).astype(float), np.add.reduceat(off, at)) if len(c) else (np.empty(0), np.empty(0))
+    return level, c - off, context, *sums
 
 
 def _times(c: np.ndarray) -> np.ndarray:
@@ -198,18 +208,15 @@ class Model:
     """One shard's probabilities, the shard's n-gram counts given."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: Low):
-        self.low, self.levels = low, []
+        self.low, self.levels = low, [(3, *low.three)]
         level, c = keys, counts
-        for order in range(ORDER, 2, -1):
-            context, at = np.unique(level >> np.uint64(8), return_index=True)
-            d = low.d[order][np.minimum(c, 3)]
-            sums = (np.add.reduceat(c, at).astype(float), np.add.reduceat(d, at)) if len(c) else (np.empty(0), np.empty(0))
-            self.levels.append((order, level, c - d, context, *sums))
+        for order in range(ORDER, 3, -1):
+            self.levels.insert(1, (order, *_level(level, c, low.d[order])))
             level, c = _lower(level, order - 1)
 
     def log2(self, keys: np.ndarray) -> np.ndarray:
         p = self.low.p2.reshape(-1)[(keys & np.uint64(0xFFFF)).astype(np.int64)]
-        for order, level, less, context, total, off in reversed(self.levels):
+        for order, level, less, context, total, off in self.levels:
             k = keys & np.uint64((1 << 8 * order) - 1)
             i, known = _find(context, k >> np.uint64(8))
             j, seen = _find(level, k)
@@ -225,11 +232,11 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, sorted_[i] == x
 
 
-def _answers(low: Low):
+def _answers(shared):
     """The probabilities that the packs ask of a shard; its counts come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model, low = None, shared.value
         for b in batches:
             for first, name, shard, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 columns = unpack(blob.as_buffer().to_pybytes())
@@ -237,7 +244,7 @@ def _answers(low: Low):
                     model = Model(columns[0].view(np.uint64), columns[1], low)
                     continue
                 model = model or Model(np.empty(0, np.uint64), np.empty(0, np.int64), low)
-                answer = pack([np.rint(model.log2(columns[0].view(np.uint64)) * STEPS).astype(np.int32)])
+                answer = pack([model.log2(columns[0].view(np.uint64)).astype(np.float32).view(np.uint32)])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int32()), pa.array([answer], pa.binary())], ["pack", "shard", "blob"])
 
     return run
@@ -276,7 +283,7 @@ def _score(n: int):
                 if shard < 0:
                     docs = raw
                 else:
-                    answers.append(unpack(raw)[0].astype(np.float32) / STEPS)
+                    answers.append(unpack(raw)[0].view(np.float32))
         if docs is not None:
             yield emit(docs, answers)
 
@@ -294,25 +301,24 @@ def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRUSTED) -> DataFrame | None:
     """(doc_id, th, lang, role, n_bytes, log2_ppl) for each row, from written scores; None if no trusted document is among docs."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     ids = written(trusted(labels, most))
     d = docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     # bounded by the documented limit, so they may be broadcast at every size; those that calibrate aren't, and are joined to the scores
     d = d.join(F.broadcast(ids.where("__mr_role = 1")), F.col("doc_id") == F.col("__mr_doc"), "left").select("doc_id", "text", "th", "lang", F.coalesce("__mr_role", F.lit(0)).alias("role"))
-    packs = Table(d.mapInArrow(_packs(n), "kind string, pack string, shard int, blob binary"), "kind")
-    counted = Table(packs.read().where("kind = 'count'").select("shard", "blob").repartitionById(n, F.col("shard")).mapInArrow(_count_shard, "what int, key long, n long, blob binary"))
-    sums = counted.read().where("what >= 0").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas()  # at most 2^16 pairs and 12 numbers
+    n = shards(spark, text_bytes(docs, text_col), SHARD_BYTES)
+    packs = Table(d.transform(worker, _packs(n), "kind string, pack string, shard int, blob binary"), "kind")
+    counted = Table(packs.read().where("kind = 'count'").select("shard", "blob").repartitionById(n, F.col("shard")).transform(worker, _count_shard, "what int, key long, n long, blob binary"))
+    sums = counted.read().where("what >= 0").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # at most 2^24 runs of three bytes and 8 numbers
     if not len(sums):
         return None
-    pairs = np.zeros(1 << 16, np.int64)
     own = sums[sums.what == 0]
-    pairs[own.key.to_numpy()] = own.n.to_numpy()
-    low = Low.fit(pairs, {k: sums[sums.what == k].sort_values("key").n.to_numpy() for k in range(3, ORDER + 1)})
+    low = Low.fit(own.key.to_numpy().astype(np.uint64), own.n.to_numpy(), {k: sums[sums.what == k].n.to_numpy() for k in range(4, ORDER + 1)})
+    low = spark.sparkContext.broadcast(low)
     model = counted.read().where("what = -1").select(F.lit(0).alias("first"), F.lit("").alias("pack"), F.col("key").cast("int").alias("shard"), "blob")
     asked = packs.read().where("kind = 'asked'").select(F.lit(1).alias("first"), "pack", "shard", "blob")
-    answers = model.union(asked).repartitionById(n, F.col("shard")).sortWithinPartitions("first").mapInArrow(_answers(low), "pack string, shard int, blob binary")
+    answers = model.union(asked).repartitionById(n, F.col("shard")).sortWithinPartitions("first").transform(worker, _answers(low), "pack string, shard int, blob binary")
     texts = packs.read().where("kind = 'docs'").select("pack", "shard", "blob")
-    scored = Table(texts.union(answers).repartition(n, "pack").sortWithinPartitions("pack", "shard").mapInArrow(_score(n), _SCORED))
+    scored = Table(texts.union(answers).repartition(n, "pack").sortWithinPartitions("pack", "shard").transform(worker, _score(n), _SCORED))
     packs.drop()
     counted.drop()
     calibrating = written(ids.where("__mr_role = 2").select("__mr_doc"))
@@ -321,25 +327,31 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def limits(scored: DataFrame) -> DataFrame:
-    """(lang, most): the log perplexity up to which a language's documents are kept; lang null: that of all languages."""
-    q = lambda p: F.expr(f"percentile(log2_ppl, {p}D)")
-    c = scored.where("role = 2 AND log2_ppl IS NOT NULL").rollup("lang").agg(F.count("*").alias("n"), q(0.5).alias("mid"), q(HIGH).alias("hi"))
-    return c.where(f"lang IS NULL OR n >= {LEAST_CALIBRATING}").selectExpr("lang", f"hi + {SLACK}D * (hi - mid) AS most")
+    """(lang, most): the log perplexity up to which a language's documents are kept, HIGH of its calibrating ones at least; lang null: that of all languages.
+
+    Counts by language and 1/GRID bit, added up from below: exact to that grid, and no task holds a language's documents.
+    """
+    bucket = F.ceil(F.col("log2_ppl") * GRID)
+    c = written(scored.where("role = 2 AND log2_ppl IS NOT NULL").groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    every = c.groupBy("bucket").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bucket", "n")
+    w = Window.partitionBy("lang")
+    upto, total = F.sum("n").over(w.orderBy("bucket")), F.sum("n").over(w)
+    return c.union(every).select("lang", "bucket", upto.alias("upto"), total.alias("total")).where(F.col("upto") >= F.lit(HIGH) * F.col("total")).groupBy("lang").agg((F.min("bucket") / GRID).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRUSTED) -> DataFrame:
     """One row (doc_id, th, lang, n_bytes, perplexity, rejected) for each row of docs.
 
     The model is of bytes, order ORDER, interpolated modified Kneser-Ney, over all bytes of the trusted documents: those whose labels all
-    say quality 1 and toxic 0. One in CALIBRATE isn't trained on, nor what is beyond MAX_TRUSTED of the rest; the quantile HIGH of all these per language, raised by
-    SLACK, is the limit above which a document is rejected. The perplexity is per byte, over the whole text.
+    say quality 1 and toxic 0. One in CALIBRATE isn't trained on, nor what is beyond MAX_TRUSTED of the rest; the quantile HIGH of all these per language
+    is the limit above which a document is rejected. The perplexity is per byte, over the whole text.
 
     Packs of documents gather their distinct n-grams, all over the corpus; these requests and the training counts are joined shard by shard, a shard having all
-    n-grams whose contexts end in the same two bytes, and the answers go back to the packs. What moves grows with the input; what is
-    broadcast is of fixed size.
+    n-grams whose contexts end in the same three bytes, and the answers go back to the packs. What moves grows with the input; what is
+    broadcast, the counts of runs of three bytes, has at most 2^24 entries.
 
-    Null and empty texts have a null perplexity and are rejected. A null language counts as "". Languages with few calibrating documents
-    go by the limits of all. Rows that repeat are scored alike; ids may be null. Without any trusted document among docs nothing but
+    Null and empty texts have a null perplexity and are rejected. A null language counts as "". Languages without calibrating documents
+    go by the limit of all. Rows that repeat are scored alike; ids may be null, and have to be of a whole-number type (else a TypeError). Without any trusted document among docs nothing but
     empty texts is rejected, and perplexity is null. An empty table gives no rows.
     """
     scored = perplexities(docs, labels, id_col, text_col, lang_col, most)

@@ -51,7 +51,7 @@ def test_perplexity_is_that_of_the_textbook(spark):
     assert fitted
     got = {r.doc_id: r.log2_ppl for r in q.perplexities(docs, labels).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(brute_force(fitted, t), abs=3e-3), t
+        assert got[i] == pytest.approx(brute_force(fitted, t), abs=1e-5), t
 
 
 @pytest.mark.parametrize("n", [(10145, 2614, 2832, 1839), (1, 1, 1, 1), (5, 0, 0, 0), (1, 100, 1, 1), (1, 1, 100, 1), (1, 1, 1, 100), (0, 0, 0, 0)])
