@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import worker
+
 SCHEMA = "shard int, blob binary"
 _32 = np.uint64(32)
 
@@ -88,7 +90,7 @@ def per_shard(df: DataFrame, n: int, work: Callable[[int, list[np.ndarray]], Ite
         if parts:
             yield from work(shard, [np.concatenate(c) for c in zip(*parts)])
 
-    return df.repartitionById(n, df["shard"]).mapInArrow(run, schema)
+    return df.repartitionById(n, df["shard"]).transform(worker, run, schema)
 
 
 def groups(h: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

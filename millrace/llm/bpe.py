@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import doc_id, pieces, ragged
+from .common import doc_id, pieces, ragged, worker
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before the merges, for Java's regular expressions; \\s stands for Unicode white space.
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     give a row each; ids of another than a whole-number type are a TypeError; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
-    return _split(docs, id_col, text_col, pattern).mapInArrow(_encode(shared), "doc_id long, text string, token_ids array<int>")
+    return _split(docs, id_col, text_col, pattern).transform(worker, _encode(shared), "doc_id long, text string, token_ids array<int>")
 
 
 def _texts(v: Vocabulary, ids: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -247,7 +247,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load(vocabulary))
     kept = [c for c in encoded.columns if c != "decoded"]
     df = encoded.select(*kept)
-    return df.mapInArrow(_decode(shared, kept), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.transform(worker, _decode(shared, kept), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def _round_trip(shared):
@@ -273,4 +273,4 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     As encode and decode do it, in one worker: texts go to Python once and don't come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
-    return _split(docs, id_col, text_col, pattern).mapInArrow(_round_trip(shared), "doc_id long, n_chars int, n_tokens int, token_ids array<int>, round_trip boolean")
+    return _split(docs, id_col, text_col, pattern).transform(worker, _round_trip(shared), "doc_id long, n_chars int, n_tokens int, token_ids array<int>, round_trip boolean")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_id, join_small, lists, pieces, words, written
+from .common import doc_id, join_small, lists, pieces, words, worker, written
 
 SHINGLE, K, GROUP_K = 5, 64, 1024
 P = (1 << 61) - 1
@@ -80,7 +80,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     each give a row; ids may be null. No shuffle.
     """
     cols = [doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(group_col).cast("string").alias("grp")] if group_col else [])
-    return docs.select(*cols).mapInArrow(_sketches(shingle, k), "doc_id long, sketch array<long>" + (", grp string" if group_col else ""))
+    return docs.select(*cols).transform(worker, _sketches(shingle, k), "doc_id long, sketch array<long>" + (", grp string" if group_col else ""))
 
 
 #: Groups that a task holds sketches of before it hands them on: what it needs doesn't grow with the groups.
@@ -123,7 +123,7 @@ def merge(sketches: DataFrame, group: str = "grp", k: int = K) -> DataFrame:
 def sketch_groups(docs: DataFrame, group_col: str, text_col: str = "text", shingle: int = SHINGLE, k: int = GROUP_K) -> DataFrame:
     """(grp, sketch) of all shingles of each group's texts. Each task merges what it reads, so k hashes a task and group are shuffled."""
     d = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("grp"))
-    return merge(d.mapInArrow(_task_sketches(shingle, k), "grp string, sketch array<long>"), k=k)
+    return merge(d.transform(worker, _task_sketches(shingle, k), "grp string, sketch array<long>"), k=k)
 
 
 def estimate_distinct(s, k: int):

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_id, pieces, words
+from .common import doc_id, pieces, words, worker
 from .license_texts import TEMPLATES
 
 MIN_MATCH = 3
@@ -230,6 +230,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for n, t in fixed:
         if len(t.split()) < MIN_MATCH:
             raise ValueError(f"a template of {n} has fewer than {MIN_MATCH} tokens: {t!r}")
-    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(worker, 
         _scan(fixed), "doc_id long, license string, template int, start_token int, end_token int, covered_tokens int, coverage double"
     )

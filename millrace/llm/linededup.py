@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, doc_id, fresh, join_small, pieces, shuffle_partitions, text_hash, written
+from .common import as_text, doc_id, fresh, join_small, pieces, shuffle_partitions, text_hash, worker, written
 
 _EDGE = " \t\r"
 _LOCAL = 400_000  # lines that a task remembers for its own dedup before it starts afresh
@@ -101,12 +101,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat an id and its text are one document. Ids of another than a whole-number type are a TypeError. Other columns are not read. An empty table gives none.
     """
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(doc_id(docs, id_col).alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).mapInArrow(
+    rows = docs.select(doc_id(docs, id_col).alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).transform(worker, 
         _line_rows, "h1 long, h2 long, doc long, th long, pos int, n int"
     )
     part = F.least(F.lit(n - 1), F.floor((F.col("h1") / F.lit(2.0**64) + 0.5) * n)).cast("int")
-    first = rows.repartitionById(n, part).sortWithinPartitions("h1", "h2", "doc", "th", "pos").mapInArrow(_first_of_run, "doc long, th long, pos int, n int")
-    return first.groupBy("doc", "th").agg(F.collect_list("pos").alias("kept"), F.max("n").alias("n")).mapInArrow(
+    first = rows.repartitionById(n, part).sortWithinPartitions("h1", "h2", "doc", "th", "pos").transform(worker, _first_of_run, "doc long, th long, pos int, n int")
+    return first.groupBy("doc", "th").agg(F.collect_list("pos").alias("kept"), F.max("n").alias("n")).transform(worker, 
         _bitmaps, "doc_id long, th long, n_lines int, n_kept int, keep_runs string"
     )
 
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     doc, th, runs, key = fresh(docs, "__doc", "__th", "__runs", "__key")
     changed = written(keep_bitmaps(docs, id_col, text_col).where("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("keep_runs").alias(runs)))
     joined = join_small(docs.withColumn(key, text_hash(text_col)), changed, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
-    return joined.mapInArrow(_cut(text_col, runs), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
+    return joined.transform(worker, _cut(text_col, runs), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
 
 
 ORACLE = """

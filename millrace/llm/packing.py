@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_id, join_small, written
+from .common import doc_id, join_small, worker, written
 
 CAPACITY = 2048
 #: Nodes of the search; beyond them the best packing found so far stands, and n_bins and min_bins say how near it is.
@@ -260,14 +260,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
     words = docs.select(doc_id(docs, id_col).alias("doc_id"), n_words.alias("words")).where("words > 0")
-    d = written(words.mapInArrow(_numbered(capacity), "part int, doc_id long, words long, full long, rests long"))
+    d = written(words.transform(worker, _numbered(capacity), "part int, doc_id long, words long, full long, rests long"))
     pieces = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)))
     start = F.col("piece").cast("long") * capacity
     length = F.least(F.lit(capacity), F.col("words") - start).cast("int")
     pieces = pieces.select("part", "doc_id", "piece", start.cast("int").alias("start"), length.alias("length"), F.when(length == capacity, F.col("full") + F.col("piece")).otherwise(F.col("rests")).alias("k"))
     counts = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     every = counts.groupBy("length").agg(F.sum("n").alias("n"))
-    found = written(every.where(F.col("length") < capacity).coalesce(1).mapInArrow(_search(capacity, max_nodes), "length long, first long, bin long, each long, room long, n_bins long, min_bins long"))
+    found = written(every.where(F.col("length") < capacity).coalesce(1).transform(worker, _search(capacity, max_nodes), "length long, first long, bin long, each long, room long, n_bins long, min_bins long"))
     rows = sorted(tuple(r) for r in found.collect())  # patterns, of which there are a few times capacity at most
     n_bins, min_bins = rows[0][5:] if rows else (0, 0)
     n_full = every.where(F.col("length") == capacity).agg(F.sum("n")).first()[0] or 0
@@ -276,4 +276,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     offsets = written(counts.select(F.col("part").alias("__part"), F.col("length").alias("__length"), before.alias("before")))
     ranked = join_small(pieces, offsets, (F.col("part") == F.col("__part")) & (F.col("length") == F.col("__length")), "inner")
     ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("k") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_assign(capacity, shared), "bin long, doc_id long, piece int, start int, length int, room int, n_bins long, min_bins long")
+    return ranked.transform(worker, _assign(capacity, shared), "bin long, doc_id long, piece int, start int, length int, room int, n_bins long, min_bins long")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import SCHEMA, by_shard, groups, per_shard, shard_of
-from .common import doc_id, fresh, join_hot, join_small, mix, pieces, shards, text_hash, words, written
+from .common import doc_id, fresh, join_hot, join_small, mix, pieces, shards, text_hash, words, worker, written
 from .components import components
 
 BITS, HALF, HALF_RADIUS = 128, 64, 7
@@ -77,7 +77,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, f1, f2, n_words) for each row; null and wordless texts have 0 words."""
-    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).mapInArrow(_prints, "doc_id long, th long, f1 long, f2 long, n_words int")
+    return docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).transform(worker, _prints, "doc_id long, th long, f1 long, f2 long, n_words int")
 
 
 def _table_keys(n: int):
@@ -193,10 +193,10 @@ def _links(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def near_edges(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of written nodes (node, f1, f2) within RADIUS."""
     n = shards(nodes.sparkSession, nodes.count(), SHARD_NODES)
-    keys = nodes.mapInArrow(_table_keys(n), SCHEMA)
+    keys = nodes.transform(worker, _table_keys(n), SCHEMA)
     hits = per_shard(keys, n, _collisions, "bucket long, node long")
     found = hits.join(nodes, "node").select("bucket", "node", "f1", "f2")
-    return found.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches: _runs(batches, 1, _edges), "a long, b long")
+    return found.repartition("bucket").sortWithinPartitions("bucket", "node").transform(worker, lambda batches: _runs(batches, 1, _edges), "a long, b long")
 
 
 def near_links(members: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def near_links(members: DataFrame) -> DataFrame:
     m = members.where("size > 1").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "f1", "f2")
-    return m.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda batches: _runs(batches, 3, _links), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return m.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").transform(worker, lambda batches: _runs(batches, 3, _links), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
