@@ -24,27 +24,46 @@ def nearest(rows: DataFrame, key: str, vec: str, query: list[float], k: int) ->
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # of k rows
 
 
-def bm25(corpus: DataFrame, tok: str, terms: list[str]) -> tuple[DataFrame, Column]:
-    """(one row of corpus statistics, the score's column over a row joined with it). Statistics are of all rows of corpus that have tokens."""
-    terms = list(dict.fromkeys(terms))
-    equal = lambda t: lambda x: x == t
-    tf = [F.size(F.filter(tok, equal(t))) for t in terms]
-    stats = corpus.where(F.col(tok).isNotNull()).agg(
-        F.count("*").alias("__n"), F.avg(F.size(tok)).alias("__avg"), *[F.count_if(F.array_contains(tok, t)).alias(f"__df{i}") for i, t in enumerate(terms)]
-    )
-    score = F.lit(0.0)
-    for i, n in enumerate(tf):
-        df = F.col(f"__df{i}")
-        idf = F.log(F.lit(1.0) + (F.col("__n") - df + 0.5) / (df + 0.5))
-        score += idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.size(tok) / F.col("__avg")))
-    matched = F.arrays_overlap(F.col(tok), F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)
-    return stats, F.when(matched, F.round(score, 12))
+def term_counts(rows: DataFrame, key: str, tok: str, terms: list[str]) -> DataFrame:
+    """(key, dl, tf0, tf1, ...): each row's tokens and how often each term is among them. A row's array is taken apart once, however many terms there are."""
+    each = rows.select(key, F.explode(tok).alias("__term"))
+    return each.groupBy(key).agg(F.count("*").alias("dl"), *[F.count_if(F.col("__term") == t).alias(f"tf{i}") for i, t in enumerate(terms)])
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+
+
+def _gain(tf: Column, dl: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
 def best_matches(rows: DataFrame, corpus: DataFrame, key: str, tok: str, terms: list[str], k: int) -> DataFrame:
-    """(key, score, rank) of the k rows of highest BM25, ties by key; rows without any of the terms have none."""
-    stats, score = bm25(corpus, tok, terms)
-    best = rows.where(F.col(tok).isNotNull()).crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), key).limit(k)
+    """(key, score, rank) of the k rows of highest BM25, ties by key; rows without any of the terms have none. Statistics are of all rows of corpus that have tokens."""
+    terms = list(dict.fromkeys(terms))
+    counts = term_counts(corpus, key, tok, terms)
+    stats = counts.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
+    score, found = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        score += _idf(F.col("__n"), F.col(f"__df{i}")) * _gain(F.col(f"tf{i}"), F.col("dl"), F.col("__avg"))
+        found |= F.col(f"tf{i}") > 0
+    own = counts if rows is corpus else term_counts(rows, key, tok, terms)
+    best = own.where(found).crossJoin(F.broadcast(stats)).select(key, F.round(score, 12).alias("score")).orderBy(F.desc("score"), key).limit(k)  # stats are one row
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+
+
+def best_postings(found: tuple[DataFrame, DataFrame, DataFrame], window: Column, key: str, terms: list[str], k: int) -> DataFrame:
+    """What best_matches gives, from postings: only those of the terms are read, and only their rows' tombstones looked up. Statistics are of all rows, deleted ones too."""
+    post, stat, tombs = found
+    terms = list(dict.fromkeys(terms))
+    mine = post.where(F.col("term").isin(terms))
+    df = mine.groupBy(F.col("term").alias("__term")).agg(F.count("*").alias("__df"))
+    total = stat.agg(F.sum("n").alias("__n"), (F.sum("total") / F.sum("n")).alias("__avg"))
+    gone = tombs.groupBy(F.col("_deleted").alias("__gone")).agg(F.min("deleted_ds").alias("deleted_ds"))
+    seen = mine.join(gone, F.col("key").cast("string") == F.col("__gone"), "left").where(window)
+    part = _idf(F.col("__n"), F.col("__df")) * _gain(F.col("tf"), F.col("dl"), F.col("__avg"))
+    scored = seen.join(F.broadcast(df), F.col("term") == F.col("__term")).crossJoin(F.broadcast(total)).groupBy(F.col("key").alias(key)).agg(F.round(F.sum(part), 12).alias("score"))  # a row a term, and one row
+    best = scored.orderBy(F.desc("score"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
@@ -55,8 +74,9 @@ def fuse(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:
     return both.select(key, (part("ra") + part("rb")).alias("_score")).orderBy(F.desc("_score"), key).limit(k)
 
 
-def search_table(physical: DataFrame, window: Column, key: str, show: list[str], tok: str, vec: str, terms: list[str], query: list[float], k: int, candidates: int) -> DataFrame:
+def search_table(physical: DataFrame, window: Column, key: str, show: list[str], tok: str, vec: str, terms: list[str], query: list[float], k: int, candidates: int, postings: tuple | None = None) -> DataFrame:
     """Rows of the window with _score, k at most. Candidates are of the window before they are ranked; corpus statistics are of all rows, deleted ones too."""
     seen = physical.where(window)
-    hits = fuse(nearest(seen, key, vec, query, candidates), best_matches(seen, physical, key, tok, terms, candidates), key, k)
+    words = best_postings(postings, window, key, terms, candidates) if postings else best_matches(seen, physical, key, tok, terms, candidates)
+    hits = fuse(nearest(seen, key, vec, query, candidates), words, key, k)
     return seen.select(*show).join(F.broadcast(hits), key).select(*show, "_score")  # at most k rows are broadcast

@@ -37,7 +37,7 @@ class Search(Source):
         spec = ctx.schema.table(args.table)
         physical = ctx.store.physical(ctx.spark, args.table, hidden=True)
         window = ctx.store.window(ctx.ds_start, ctx.ds_end)
-        return search_table(physical, window, spec.primary, spec.visible, f"_tok_{args.col}", f"_vec_{args.col}", args.terms, args.vector, args.k, 4 * args.k if ctx.ds_end else args.k)
+        return search_table(physical, window, spec.primary, spec.visible, f"_tok_{args.col}", f"_vec_{args.col}", args.terms, args.vector, args.k, 4 * args.k if ctx.ds_end else args.k, ctx.store.postings(ctx.spark, args.table, args.col))
 
 
 class Scan(Source):

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import MillraceError, QueryError, ReadOnlyError
 from ..operators.base import Context, Operator, words_of
 from ..operators.policy import Policy
 from ..operators.process import through
 from ..operators.registry import Registry
-from .dialect import translate
+from .dialect import ARRAY_FUNCTIONS, lens, translate
 from .guard import check_read
 from .lex import leading_word, placeholders, split_pipeline
 
@@ -54,15 +55,29 @@ def register_tables(ctx: Context) -> None:
         ctx.store.physical(ctx.spark, spec.name).createOrReplaceTempView(f"_all_{spec.name}")
 
 
+def register_functions(spark: SparkSession, sql: str) -> None:
+    """Those of the functions that Spark lacks which the stage names."""
+    for name, body in ARRAY_FUNCTIONS.items():
+        if name in sql.lower():
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+
+
 def run_sql(ctx: Context, sql: str, params: list, policy: Policy, prev: DataFrame | None, piped: bool) -> DataFrame:
     if prev is not None:
         prev.createOrReplaceTempView("_in")
-    translated = translate(sql)
-    check_read(ctx.spark, sql, translated, policy.may_read_files, QueryError if piped else ReadOnlyError)
-    try:
-        return ctx.spark.sql(translated, args=params) if params else ctx.spark.sql(translated)
-    except (AnalysisException, ParseException) as e:
-        raise QueryError(str(e).strip().split("\n")[0]) from e
+    first = translate(sql)
+    check_read(ctx.spark, sql, first, policy.may_read_files, QueryError if piped else ReadOnlyError)
+    register_functions(ctx.spark, sql)
+    n, failed = lens(sql), None
+    for choice in product((False, True), repeat=min(n, 6)):  # which calls of len are of lists shows when the types are known
+        try:
+            translated = translate(sql, frozenset(i for i, is_list in enumerate(choice) if is_list))
+            return ctx.spark.sql(translated, args=params) if params else ctx.spark.sql(translated)
+        except (AnalysisException, ParseException) as e:
+            failed = failed or e
+            if "DATATYPE_MISMATCH" not in str(e):
+                break
+    raise QueryError(str(failed).strip().split("\n")[0]) from failed
 
 
 def build(text: str, params: list | None, registry: Registry, policy: Policy, ctx: Context) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
+import operator
 import os
 import re
 import shutil
@@ -18,6 +20,8 @@ from ..errors import QueryError
 from ..schema import META, Schema, TableSpec
 
 _DAY = re.compile(r"\d{8}\Z")
+#: Keys up to which a batch is looked up key by key, and deleted rows up to which the driver writes their log itself.
+EACH_KEY, DRIVER_KEYS = 500, 10_000
 
 
 def now() -> tuple[str, str]:
@@ -51,6 +55,9 @@ class Frames:
     def physical(self, spark: SparkSession, name: str, hidden: bool = False) -> DataFrame:
         return self.frames[self.schema.table(name).name]
 
+    def postings(self, spark: SparkSession, name: str, col: str) -> None:
+        return None
+
     def visible(self, spark: SparkSession, name: str, ds_start: str | None = None, ds_end: str | None = None) -> DataFrame:
         return self.physical(spark, name).where(window(ds_start, ds_end)).select(*[c for c in self.schema.table(name).visible if c in self.frames[name].columns])
 
@@ -118,7 +125,11 @@ class Store:
         path = self.files / f"ds={day}" / f"{spec.name}.jsonl"
         path.parent.mkdir(parents=True, exist_ok=True)
         lines = "".join(json.dumps(r, ensure_ascii=False, default=_plain) + "\n" for r in records)
-        torn = path.exists() and path.stat().st_size > 0 and not path.read_bytes()[-1:] == b"\n"
+        torn = False
+        if path.exists() and path.stat().st_size:
+            with path.open("rb") as f:
+                f.seek(-1, os.SEEK_END)
+                torn = f.read(1) != b"\n"
         with path.open("a", encoding="utf-8") as f:
             f.write(("\n" if torn else "") + lines)
             f.flush()
@@ -138,9 +149,12 @@ class Store:
                 raise QueryError(f"{spec.name}: {spec.primary} {key!r} comes twice")
             out.setdefault(str(key), {n: r.get(n) for n in names})
         if out:
-            known = self.puts(self.spark, spec).where(F.col(spec.primary).cast("string").isin(list(out)) if len(out) <= 1000 else F.lit(True)).select(F.col(spec.primary).cast("string").alias("k"))
-            if len(out) > 1000:
+            known = self.puts(self.spark, spec).select(F.col(spec.primary).alias("p"), F.col(spec.primary).cast("string").alias("k"))
+            if len(out) <= EACH_KEY:  # each key's equality goes down to the files, whose filters of keys pass over nearly all that don't have it
+                known = known.where(functools.reduce(operator.or_, [F.col("p") == F.lit(r[spec.primary]) for r in out.values()]))
+            else:
                 known = known.join(self.spark.createDataFrame([(k,) for k in out], "k string"), "k", "left_semi")
+            known = known.select("k")
             taken = {r.k for r in known.collect()}  # at most as many as the batch
             if taken and not skip_existing:
                 raise QueryError(f"{spec.name}: {spec.primary} {sorted(taken)[0]!r} is there already")
@@ -172,10 +186,34 @@ class Store:
         return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
 
     def _put(self, rows: DataFrame, spec: TableSpec, generation: Path, lines: int | None = None) -> None:
+        """Puts, by day; then for each searchable column its postings, by term, and how many rows and tokens they are of."""
         indexed = self.embedding.index(rows, spec.searchable) if spec.searchable else rows
+        folder = generation / spec.name
         if lines is not None:
             indexed = indexed.coalesce(max(1, lines // 100_000))
-        indexed.select(*[f.name for f in spec.stored.fields]).write.mode("append").partitionBy("ds").parquet(str(generation / spec.name / "puts"))
+        batch = uuid.uuid4().hex if spec.searchable else "all"  # its own postings are made from what has landed, not from a second embedding
+        wide = indexed.select(*[f.name for f in spec.stored.fields], F.lit(batch).alias("_batch"))
+        wide.write.mode("append").option(f"parquet.bloom.filter.enabled#{spec.primary}", "true").partitionBy("ds", "_batch").parquet(str(folder / "puts"))
+        landed = self._read(self.spark, folder / "puts", T.StructType([*spec.stored.fields, T.StructField("_batch", T.StringType())])).where(F.col("_batch") == batch) if spec.searchable else wide
+        for c in spec.searchable:
+            tok = F.col(f"_tok_{c}")
+            made = landed.where(tok.isNotNull()).select("ds", F.col(spec.primary).alias("key"), tok.alias("tok"), F.size(tok).alias("dl"))
+            terms = made.select("ds", "key", "dl", F.explode("tok").alias("term")).groupBy("term", "key", "dl", "ds").agg(F.count("*").cast("int").alias("tf"))
+            # a term's postings lie in one file of a batch, together: a search reads the few files and row groups that its words are in
+            terms = terms.coalesce(1) if lines is not None and lines < 10_000 else terms.repartition("term")
+            terms.sortWithinPartitions("term", "key").write.mode("append").option("parquet.bloom.filter.enabled#term", "true").parquet(str(folder / f"post_{c}"))
+            made.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).coalesce(1).write.mode("append").parquet(str(folder / f"stat_{c}"))
+
+    def postings(self, spark: SparkSession, name: str, col: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+        """(postings (term, key, tf, dl, ds), their counts (n, total), tombstones) of a searchable column; None if the generation was derived without."""
+        spec = self.schema.table(name)
+        folder = self.generation / name
+        if not (folder / f"post_{col}").exists():
+            return None
+        key = spec.stored[spec.primary].dataType
+        post = T.StructType([T.StructField("term", T.StringType()), T.StructField("key", key), T.StructField("dl", T.IntegerType()), T.StructField("ds", T.StringType()), T.StructField("tf", T.IntegerType())])
+        stat = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.LongType())])
+        return self._read(spark, folder / f"post_{col}", post), self._read(spark, folder / f"stat_{col}", stat), self._read(spark, folder / "tombs", _TOMBS)
 
     def insert_frame(self, name: str, rows: DataFrame, skip_existing: bool = False) -> int:
         """A distributed insert. The same rules: keys are checked by joins, the log is written by the executors, then the derived table from the log."""
@@ -183,8 +221,15 @@ class Store:
         names = [c.name for c in spec.columns]
         if set(rows.columns) - set(names):
             raise QueryError(f"{name}: unknown columns {sorted(set(rows.columns) - set(names))}")
-        full = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names])
-        key = F.col(spec.primary).cast("string")
+        staged = self.derived / f".staged-{uuid.uuid4().hex}"  # the frame is evaluated once: what is checked is what lands
+        try:
+            rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(spec.business[n].dataType).alias(n) for n in names]).write.parquet(str(staged))
+            return self._insert_staged(spec, self.spark.read.parquet(str(staged)), skip_existing)
+        finally:
+            shutil.rmtree(staged, True)
+
+    def _insert_staged(self, spec: TableSpec, full: DataFrame, skip_existing: bool) -> int:
+        name, key = spec.name, F.col(spec.primary).cast("string")
         if not full.where(key.isNull()).isEmpty():
             raise QueryError(f"{name}: a row has no {spec.primary}")
         known = self.puts(self.spark, spec).select(key.alias("__known"))
@@ -198,34 +243,37 @@ class Store:
             if twice or taken:
                 raise QueryError(f"{name}: {spec.primary} {twice[0].k if twice else taken[0][spec.primary]!r} is there already or comes twice")
         day, at = now()
-        path = self.files / f"ds={day}" / f"{name}.jsonl-{uuid.uuid4().hex}"
         values = [F.parse_json(c.name).alias(c.name) if c.type == "json" else F.col(c.name) for c in spec.columns]
-        full.select(F.to_json(F.struct(*values, F.lit(day).alias("ds"), F.lit(at).alias("created_at")), {"ignoreNullFields": "false"}).alias("value")).write.text(str(path))
-        parsed = self._parsed(self.spark.read.text(str(path)), spec).drop("_corrupt")
-        self._put(parsed, spec, self.generation)
-        return self.spark.read.text(str(path)).count()
+        path = self._log_frame(spec, day, full.select(F.to_json(F.struct(*values, F.lit(day).alias("ds"), F.lit(at).alias("created_at")), {"ignoreNullFields": "false"}).alias("value")))
+        lines = self.spark.read.text(str(path))
+        self._put(self._parsed(lines, spec).drop("_corrupt"), spec, self.generation)
+        return lines.count()
+
+    def _log_frame(self, spec: TableSpec, day: str, lines: DataFrame) -> Path:
+        """Executors write the lines as a part of the day's log, which is seen when all of it is there."""
+        name = f"{spec.name}.jsonl-{uuid.uuid4().hex}"
+        part = self.files / f"ds={day}" / f".{name}"
+        lines.write.text(str(part))
+        os.replace(part, part.parent / name)
+        return part.parent / name
 
     def delete(self, name: str, where: Column | None, matched: DataFrame | None = None) -> int:
-        """Mark live rows as deleted; their number. Keys go through the log on the driver in batches, as they arrive."""
+        """Mark live rows as deleted; their number. A few keys are logged by the driver, more by the executors."""
         spec = self.schema.table(name)
         day, at = now()
         live = matched if matched is not None else self.visible(self.spark, name).where(where)
-        n, batch = 0, []
         target = live.select(F.col(spec.primary).cast("string").alias("_deleted")).distinct()
-
-        def land(keys: list[str]) -> None:
-            self._append(spec, day, [{"_deleted": k, "deleted_at": at} for k in keys])
-            rows = self.spark.createDataFrame([(k, at, day) for k in keys], _TOMBS)
-            rows.coalesce(1).write.mode("append").partitionBy("deleted_ds").parquet(str(self.generation / name / "tombs"))
-
-        for r in target.toLocalIterator():
-            batch.append(r["_deleted"])
-            if len(batch) >= 100_000:
-                land(batch)
-                n, batch = n + len(batch), []
-        if batch:
-            land(batch)
-        return n + len(batch)
+        few = [r["_deleted"] for r in target.limit(DRIVER_KEYS + 1).collect()]
+        if not few:
+            return 0
+        if len(few) <= DRIVER_KEYS:
+            self._append(spec, day, [{"_deleted": k, "deleted_at": at} for k in few])
+            tombs = self.spark.createDataFrame([(k, at, day) for k in few], _TOMBS).coalesce(1)
+        else:
+            path = self._log_frame(spec, day, target.select(F.to_json(F.struct("_deleted", F.lit(at).alias("deleted_at"))).alias("value")))
+            tombs = self.spark.read.schema("_deleted string, deleted_at string").json(str(path)).withColumn("deleted_ds", F.lit(day))
+        tombs.write.mode("append").partitionBy("deleted_ds").parquet(str(self.generation / name / "tombs"))
+        return len(few) if len(few) <= DRIVER_KEYS else tombs.count()
 
     def log(self, spec: TableSpec) -> DataFrame:
         """(value, day) of a table's log lines; blank and torn ones are passed over."""
@@ -251,9 +299,33 @@ class Store:
             tombs.write.mode("append").partitionBy("deleted_ds").parquet(str(new / spec.name / "tombs"))
             stats["rows"] += self._read(self.spark, new / spec.name / "puts", spec.stored).count()
             stats["tombstones"] += self._read(self.spark, new / spec.name / "tombs", _TOMBS).count()
+        self._retire(new)
+        return stats
+
+    def _retire(self, new: Path) -> None:
         old = self.generation
         self._switch(new.name)
         self.retired = getattr(self, "retired", []) + [old]  # queries that run may still read it
+
+    def compact(self) -> dict:
+        """The same derived tables in fewer files, beside what is in use, then switch: many small inserts leave many small files. Nothing is parsed or embedded again."""
+        new, stats = self.derived / f"gen-{uuid.uuid4().hex[:12]}", {"files_before": 0, "files_after": 0}
+        for spec in self.schema.tables:
+            for folder in sorted((self.generation / spec.name).glob("*")):
+                size = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+                rows, to, n = self.spark.read.parquet(str(folder)), str(new / spec.name / folder.name), max(1, size >> 27)
+                if folder.name == "puts":
+                    rows.withColumn("_batch", F.lit("compact")).repartition(n, "ds").write.option(f"parquet.bloom.filter.enabled#{spec.primary}", "true").partitionBy("ds", "_batch").parquet(to)
+                elif folder.name.startswith("post_"):
+                    rows.repartition(n, "term").sortWithinPartitions("term", "key").write.option("parquet.bloom.filter.enabled#term", "true").parquet(to)
+                elif folder.name == "tombs":
+                    rows.repartition(n).write.partitionBy("deleted_ds").parquet(to)
+                else:
+                    rows.coalesce(1).write.parquet(to)
+                stats["files_before"] += sum(1 for _ in folder.rglob("*.parquet"))
+                stats["files_after"] += sum(1 for _ in Path(to).rglob("*.parquet"))
+        if stats["files_before"]:
+            self._retire(new)
         return stats
 
     def sweep(self) -> None:
