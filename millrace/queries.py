@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .functions.joins import asof_join
 from .functions.retrieval import best_matches, fuse, nearest
+from .functions.text import CharEmbedder
 from .operators.base import Context
 from .operators.builtins import BUILTINS
 from .operators.policy import Policy
 from .operators.registry import Registry
 from .plans.compile import build
+from .port import Port
 from .schema import parse_schema
+from .sources.shared import scratch
 from .sources.store import Frames
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -127,11 +136,21 @@ def knn_cosine_topk(spark, sf_dir):
     return _nine(nearest(v, "doc_id", "embedding", q, _K), "distance").drop("rank")
 
 
-def _hybrid(spark, sf_dir, k: int, cand: int, seen=None) -> DataFrame:
+_KEYS["embeddings"] = "vec_id"
+
+
+@query("knn_sql", "SELECT a.vec_id, round(array_cosine_distance(CAST(a.embedding AS DOUBLE[64]), CAST(q.embedding AS DOUBLE[64])), 9) AS cosine, round(array_distance(CAST(a.embedding AS DOUBLE[64]), CAST(q.embedding AS DOUBLE[64])), 6) AS straight FROM embeddings a, embeddings q WHERE q.vec_id = 0 ORDER BY cosine, a.vec_id LIMIT 100")
+def knn_sql(spark, sf_dir):
+    """Distances in a SQL stage; arrays are no declared type, so they come from a file."""
+    path = f"{sf_dir}/embeddings.parquet"
+    q = f"ARRAY({', '.join(map(repr, _vectors(spark, sf_dir)[1]))})"
+    return run(spark, sf_dir, f"SELECT vec_id, round(array_cosine_distance(embedding, {q}), 9) AS cosine, round(array_distance(embedding, {q}), 6) AS straight FROM read_parquet('{path}') ORDER BY cosine, vec_id LIMIT 100", "region")
+
+
+def _hybrid(spark, sf_dir, k: int, cand: int) -> DataFrame:
     docs = _tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     v, q = _vectors(spark, sf_dir)
-    d, w = (docs.where(seen), v.where(seen)) if seen is not None else (docs, v)
-    return _nine(fuse(nearest(w, "doc_id", "embedding", q, cand), best_matches(d, docs, "doc_id", "tok", _TERMS, cand), "doc_id", k), "_score").withColumnRenamed("_score", "score")
+    return _nine(fuse(nearest(v, "doc_id", "embedding", q, cand), best_matches(docs, docs, "doc_id", "tok", _TERMS, cand), "doc_id", k), "_score").withColumnRenamed("_score", "score")
 
 
 _HYBRID = f"WITH {_BM25}, {_KNN}, " + _RANKS
@@ -153,10 +172,108 @@ def hybrid_filtered(spark, sf_dir):
     return docs.join(F.broadcast(_hybrid(spark, sf_dir, _K, _K)), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.max("score"), 9).alias("best"))
 
 
-@query("hybrid_asof", _HYBRID.format(where="WHERE doc_id % 10 < 7", swhere="WHERE doc_id % 10 < 7", cand=400) + f" SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT {_K}")
+# ports: folders of declared tables in the shared folder, written and read through the engine itself
+
+
+def _folder(spark: SparkSession) -> Path:
+    path = Path(scratch(spark).removeprefix("file://"))
+    atexit.register(shutil.rmtree, path, True)
+    path.mkdir(parents=True)
+    return path
+
+
+def _port(spark: SparkSession, folder: Path, *tables: dict, **more) -> Port:
+    return Port.open(folder, schema=list(tables), spark=spark, **more)
+
+
+def _declared(table: str, df: DataFrame, *searchable: str) -> dict:
+    return {"table": table, "primary": _KEYS[table], "columns": [{"name": c, "type": _KINDS[k]} for c, k in df.dtypes], "searchable": list(searchable)}
+
+
+_SAID = "that onesen der"
+_FOUND = f"search documents '{_SAID}' --k {_K} | SELECT doc_id, lang, round(_score, 9) AS score FROM _in"
+_CHARS = "list_transform(range(16), lambda k: CAST(len(list_filter(string_split({0}, ''), lambda c: unicode(c) % 16 = k)) AS DOUBLE))"
+#: What search does, from the texts: tokens and characters' counts, statistics of all rows, candidates of the window ws.
+_SEARCH = f"""
+d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+(?:_[\\p{{L}}\\p{{N}}]+)*') AS tok, CAST({_CHARS.format("text")} AS DOUBLE[16]) AS vec,
+  strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y%m%d') AS ds, CASE WHEN doc_id % 5 = 0 THEN strftime(DATE '2024-01-11' + CAST(doc_id % 28 AS INTEGER), '%Y%m%d') END AS deleted_ds FROM documents WHERE trim(coalesce(text, '')) != ''),
+t AS (SELECT doc_id, unnest(tok) AS term, len(tok) AS dl FROM d), st AS (SELECT count(*) AS n, CAST(sum(len(tok)) AS DOUBLE) / count(*) AS av FROM d),
+tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM t WHERE term IN ('that', 'onesen', 'der') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ws AS (SELECT * FROM d WHERE {{window}}),
+s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av))), 12) AS score
+  FROM tf JOIN df USING (term) JOIN ws USING (doc_id) CROSS JOIN st GROUP BY doc_id),
+v AS (SELECT doc_id, round(array_cosine_distance(vec, CAST({_CHARS.format("'" + _SAID + "'")} AS DOUBLE[16])), 12) AS distance FROM ws),
+""" + _RANKS.format(where="", swhere="", cand="{cand}").lstrip() + f", p AS (SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT {_K}) SELECT doc_id, lang, score FROM p JOIN documents USING (doc_id)"
+
+
+@query("port_search", "WITH " + _SEARCH.replace("{window}", "true").replace("{cand}", "100"))
+def port_search(spark, sf_dir):
+    """Documents inserted into a port, and searched there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    with _port(spark, _folder(spark), _declared("documents", docs, "text"), embedder=CharEmbedder()) as port:
+        port.insert_df("documents", docs)
+        return port.query_df(_FOUND)
+
+
+def _logged(spark, sf_dir) -> Path:
+    """A port's folder with nothing but its log: documents put on 28 days, a fifth of them deleted ten days later."""
+    folder = _folder(spark)
+    day = lambda first: F.date_format(F.date_add(F.lit(first).cast("date"), (F.col("doc_id") % 28).cast("int")), "yyyyMMdd")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", day("2024-01-01").alias("ds"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"))
+    gone = docs.where("doc_id % 5 = 0").select(day("2024-01-11").alias("day"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("_deleted"), F.col("created_at").alias("deleted_at"))).alias("value"))
+    lines = docs.select(F.col("ds").alias("day"), F.to_json(F.struct("doc_id", "text", "lang", "ds", "created_at"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.union(gone).write.partitionBy("day").text(str(folder / "lines"))
+    for d in (folder / "lines").glob("day=*"):
+        (folder / "files" / f"ds={d.name[4:]}").mkdir(parents=True)
+        os.replace(d, folder / "files" / f"ds={d.name[4:]}" / f"documents.jsonl-{uuid.uuid4().hex}")
+    return folder
+
+
+def _rebuilt(spark, sf_dir) -> Port:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    port = _port(spark, _logged(spark, sf_dir), _declared("documents", docs, "text"), embedder=CharEmbedder())
+    done = port.wait(port.rebuild())
+    if done.state != "done":
+        raise RuntimeError(done.error)
+    return port
+
+
+@query("hybrid_asof", "WITH " + _SEARCH.replace("{window}", "ds <= '20240115' AND (deleted_ds IS NULL OR deleted_ds > '20240115')").replace("{cand}", "400"))
 def hybrid_asof(spark, sf_dir):
-    # the visible rows of a window; the statistics of the words are still of all
-    return _hybrid(spark, sf_dir, _K, 4 * _K, F.col("doc_id") % 10 < 7)
+    """A port rebuilt from its log, searched as of a day: candidates are of that day, the words' statistics of all rows."""
+    with _rebuilt(spark, sf_dir) as port:
+        return port.query_df(_FOUND, ds_end="20240115")
+
+
+@query("port_rebuild", "SELECT lang, strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y%m%d') AS ds, count(*) AS n, count(CASE WHEN doc_id % 5 = 0 THEN 1 END) AS n_deleted, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+def port_rebuild(spark, sf_dir):
+    """All rows that a rebuild makes of the log, compacted, with those that tombstones delete."""
+    with _rebuilt(spark, sf_dir) as port:
+        port.wait(port.compact())
+        return port.query_df("SELECT lang, ds, count(*) AS n, count(deleted_ds) AS n_deleted, sum(length(text)) AS chars FROM _all_documents GROUP BY lang, ds")
+
+
+@query("port_skip_existing", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'first' ELSE o_orderpriority END AS o_orderpriority, o_totalprice FROM main.orders")
+def port_skip_existing(spark, sf_dir):
+    """Keys that are there already are left out, and of keys that a batch repeats the first stays."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    with _port(spark, _folder(spark), _declared("orders", orders)) as port:
+        port.insert_df("orders", orders.where("o_orderstatus = 'F'").withColumn("o_orderpriority", F.lit("first")))
+        port.insert_df("orders", orders.union(orders), skip_existing=True)
+        return port.query_df("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+
+
+@query("port_delete", "SELECT o_orderkey, o_totalprice > 150000 AS deleted FROM main.orders")
+def port_delete(spark, sf_dir):
+    """Deleted rows stay, marked; a second delete of the same finds none."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    with _port(spark, _folder(spark), _declared("orders", orders)) as port:
+        port.insert_df("orders", orders)
+        for again in (False, True):
+            n = port.wait(port.delete("orders", where="o_totalprice > ?", params=[150000])).matched
+            if again and n:
+                raise RuntimeError(f"{n} rows were deleted twice")
+        return port.query_df("SELECT o_orderkey, deleted_ds IS NOT NULL AND deleted_at IS NOT NULL AS deleted FROM _all_orders")
 
 
 # writes
@@ -246,12 +363,15 @@ for _name, _tables, _sql in (
     ("fn_date", "orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INTEGER) AS y, date_trunc('month', o_orderdate) = o_orderdate AS first, CAST(o_orderdate + INTERVAL 10 DAY AS DATE) AS later FROM orders"),
     ("fn_math", "part", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS r, floor(p_retailprice) % 7 = 0 AS m, abs(p_size - 25) AS a, round(ln(p_retailprice), 6) AS l, greatest(p_size, 25) AS g, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c FROM part"),
     ("fn_array", "documents", "SELECT lang, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(source, '[^a-z0-9]+')) AS part FROM documents) t GROUP BY lang"),
+    ("fn_map", "nation", "SELECT n_nationkey, map_keys(MAP(list_value('key', 'region'), list_value(n_nationkey, n_regionkey))) AS k, map_values(MAP(list_value('key', 'region'), list_value(n_nationkey, n_regionkey))) AS v FROM nation"),
+    ("fn_len", "documents", "SELECT doc_id, CAST(len(text) AS INTEGER) AS chars, CAST(len(string_split_regex(text, ' +')) AS INTEGER) AS words FROM documents"),
+    ("agg_approx", "lineitem", "SELECT l_returnflag, abs(approx_count_distinct(l_linestatus) - count(DISTINCT l_linestatus)) < 1 AS near FROM lineitem GROUP BY l_returnflag"),
+    ("range_table", "region", "SELECT r_name, x.id AS n FROM region CROSS JOIN range(3) x"),
     ("fn_json", "events", "SELECT event_type, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY event_type"),
 ):
-    pipeline(_name, _sql, _tables, {"match": None}.get(_name) or ("WITH orders AS (SELECT * FROM (" + _LIFE.replace("FROM orders", "FROM main.orders") + ") WHERE deleted_ds IS NULL) " if "orders" in _tables.split() and not _sql.startswith("WITH") else "") + (_sql if not (_sql.startswith("WITH") and "orders" in _tables) else "WITH orders AS (SELECT * FROM (" + _LIFE.replace("FROM orders", "FROM main.orders") + ") WHERE deleted_ds IS NULL), " + _sql[5:]))
+    pipeline(_name, _sql, _tables, {"range_table": "SELECT r_name, x.range AS n FROM region CROSS JOIN range(3) x"}.get(_name) or ("WITH orders AS (SELECT * FROM (" + _LIFE.replace("FROM orders", "FROM main.orders") + ") WHERE deleted_ds IS NULL) " if "orders" in _tables.split() and not _sql.startswith("WITH") else "") + (_sql if not (_sql.startswith("WITH") and "orders" in _tables) else "WITH orders AS (SELECT * FROM (" + _LIFE.replace("FROM orders", "FROM main.orders") + ") WHERE deleted_ds IS NULL), " + _sql[5:]))
 
-# all rows; its SQL is of the first 2,000, which are all there are up to sf0.01
-pipeline("sort_nulls_last", "SELECT k, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer) t ORDER BY k, c_custkey", "customer lineitem", "SELECT k, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer) t ORDER BY k, c_custkey LIMIT 2000")
+pipeline("sort_nulls_last", "SELECT k, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer) t ORDER BY k, c_custkey", "customer", "SELECT k, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer) t ORDER BY k, c_custkey")
 
 
 @query("join_asof", "SELECT a.event_id, b.event_id AS last_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts")
@@ -263,10 +383,17 @@ def join_asof(spark, sf_dir):
 
 @query("stream_ingest_dedupe", "SELECT event_id, event_type FROM events")
 def stream_ingest_dedupe(spark, sf_dir):
-    """What micro-batches with replayed keys land as: each key once, the first."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    replayed = e.withColumn("n", F.lit(0)).union(e.where("event_id % 3 = 0").withColumn("n", F.lit(1)))
-    return replayed.groupBy("event_id").agg(F.min_by("event_type", "n").alias("event_type"))
+    """watch | jq | ingest over files of lines, those of a third of the keys replayed with another type: each key lands once, as it first came."""
+    folder = _folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    lines = lambda df: df.select(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("value"))
+    lines(events).write.text(str(folder / "in/0"))
+    lines(events.where("event_id % 3 = 0").withColumn("event_type", F.lit("replayed"))).write.text(str(folder / "in/1"))
+    with _port(spark, folder, _declared("events", events), policy=_TRUSTED) as port:
+        stream = port.stream(f"watch '{folder}/in/*/part-*' --poll-ms 20 | jq '{{event_id: .id, event_type: .kind}}' | ingest events --batch 20000 --flush-ms 20", name="events")
+        stream.drain()
+        stream.stop()
+        return port.query_df("SELECT event_id, event_type FROM events")
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
