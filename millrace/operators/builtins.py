@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -92,6 +94,10 @@ class Jq(Operator):
     def to_argv(self, args):
         return ["jq", "-c", args.given[0]]
 
+    def by_row(self, args):
+        """Whether the script sees one row after the other: it doesn't read on, count them or end early by itself."""
+        return not re.search(r"\b(?:inputs?|input_line_number|halt|halt_error|limit|first|label|foreach|debug|stderr)\b", args.given[0])
+
 
 class Watch(Operator):
     """watch '<glob>' [--poll-ms n]: new whole lines of the matching files, without end."""

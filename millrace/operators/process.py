@@ -87,14 +87,16 @@ def _chain(argvs: list[list[str]], timeout_s: float):
     return run
 
 
-def through(df: DataFrame, argvs: list[list[str]], timeout_s: float = 30.0) -> DataFrame:
+def through(df: DataFrame, argvs: list[list[str]], timeout_s: float = 30.0, by_row: bool = False) -> DataFrame:
     """Rows that the processes make of df's rows.
 
     One chain sees the whole input, in one task: that is what `head -1` or `sort` in a pipeline means. The input should be what earlier stages left over.
+    With by_row each partition has a chain of its own.
     Its result is written to the shared folder, so it runs once however often it is read. Columns are in order of first appearance; their types are inferred.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    lines = df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).mapInArrow(_chain(argvs, timeout_s), "value string")
+    lines = df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines = (lines if by_row else lines.coalesce(1)).mapInArrow(_chain(argvs, timeout_s), "value string")
     path = scratch(df.sparkSession)
     try:
         lines.write.text(path)

@@ -101,11 +101,12 @@ def build(text: str, params: list | None, registry: Registry, policy: Policy, ct
         elif s.operator.has("to_df"):
             df = s.operator.to_df(s.args, ctx) if s.operator.is_source() else s.operator.to_df(df, s.args, ctx)
         else:  # neighbouring processes are one chain
-            argvs = []
+            argvs, by_row = [], True
             while i < len(stages) and stages[i].operator is not None and not stages[i].operator.has("to_df"):
                 argvs.append(stages[i].operator.to_argv(stages[i].args))
+                by_row = by_row and stages[i].operator.has("by_row") and stages[i].operator.by_row(stages[i].args)
                 i += 1
-            df = through(df, argvs, policy.process_timeout_s)
+            df = through(df, argvs, policy.process_timeout_s, by_row)
             continue
         i += 1
     return df

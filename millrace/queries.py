@@ -381,6 +381,11 @@ def join_asof(spark, sf_dir):
     return asof_join(e.where("event_type = 'purchase'"), clicks, ["user_id"], "ts", "ts", ["last_id"]).select("event_id", "last_id")
 
 
+_ASOF = "SELECT a.event_id, b.event_id AS last_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts"
+pipeline("asof_sql", _ASOF, "events")
+pipeline("asof_sql_next", _ASOF.replace("a.ts >= b.ts", "b.ts > a.ts").replace("ASOF LEFT JOIN", "ASOF JOIN"), "events")
+
+
 @query("stream_ingest_dedupe", "SELECT event_id, event_type FROM events")
 def stream_ingest_dedupe(spark, sf_dir):
     """watch | jq | ingest over files of lines, those of a third of the keys replayed with another type: each key lands once, as it first came."""
