@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import SCHEMA, by_shard, groups, per_shard, place_blobs
-from .common import doc_id, fresh, hash64, join_small, mix, pieces, shards, text_bytes, text_hash, words, worker, written
+from .common import doc_id, fresh, hash64, mix, pieces, shards, text_bytes, text_hash, words, worker, written
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -166,7 +166,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = shards(docs.sparkSession, text_bytes(d), SHARD_BYTES)
     probes = d.transform(worker, lambda batches: _packed(_windows(batches, block), np.uint32, n), SCHEMA)
     hits = per_shard(probes, n, _hits(block), "doc long, tag long, pos int").groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list("pos").alias("__hits"))
-    near = join_small(d, written(hits), (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), "inner").select("doc", "text", "tag", "__hits")
+    # hits grow with the table, so they are broadcast at no size
+    near = d.join(written(hits).hint("shuffle_hash"), (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "text", "tag", "__hits")
     found = near.transform(worker, lambda batches: _packed(_windows(batches, min_words, _candidates(min_words, block)), np.uint64, n), SCHEMA)
     later = per_shard(found, n, _repeats(n), SCHEMA)
     return per_shard(later, n, _spans(min_words), "doc_id long, th long, start_word int, n_words int, first_doc_id long, first_th long, first_start_word int")
@@ -205,7 +206,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doc, th, gone, key = fresh(docs, "__doc", "__th", "__spans", "__key")
     spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(gone))
     keyed = docs.withColumn(key, _tag(docs, id_col, text_col))
-    joined = join_small(keyed, written(spans), (F.col(id_col) == F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
+    joined = keyed.join(written(spans).hint("shuffle_hash"), (F.col(id_col) == F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
     return joined.transform(worker, _cutter(text_col, gone), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
 
 
