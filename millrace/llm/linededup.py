@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, doc_id, fresh, join_small, pieces, shuffle_partitions, text_hash, worker, written
+from .common import as_text, doc_id, fresh, pieces, shuffle_partitions, text_hash, worker, written
 
 _EDGE = " \t\r"
 _LOCAL = 400_000  # lines that a task remembers for its own dedup before it starts afresh
@@ -135,7 +135,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs, all columns, with the lines dropped that keep_bitmaps drops; documents left blank go (null texts with them). Columns of any name may be there."""
     doc, th, runs, key = fresh(docs, "__doc", "__th", "__runs", "__key")
     changed = written(keep_bitmaps(docs, id_col, text_col).where("n_kept < n_lines").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("keep_runs").alias(runs)))
-    joined = join_small(docs.withColumn(key, text_hash(text_col)), changed, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)
+    joined = docs.withColumn(key, text_hash(text_col)).join(changed.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left").drop(doc, th, key)  # bitmaps grow with the table
     return joined.transform(worker, _cut(text_col, runs), docs.schema).where(F.length(F.regexp_replace(text_col, r"\s+", "")) > 0)
 
 
