@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import oracle
 import numpy as np
 import pyarrow as pa
@@ -67,9 +69,12 @@ def test_packing_is_whole_and_no_worse_than_best_fit(spark):
     got, bins = {}, {}
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-        bins.setdefault((r.shard, r.bin), []).append(r)
+        bins.setdefault(r.bin, []).append(r)
     assert got == {d: n for d, n in want.items() if n}
     assert all(sum(r.length for r in b) + b[0].room == 256 for b in bins.values())
+    rests = Counter(n % 256 for n in want.values() if n % 256)
+    best_fit = sum(n for _, n in packing.best_fit(dict(rests), 256)) + sum(n // 256 for n in want.values())
+    assert rows[0].min_bins <= len(bins) == rows[0].n_bins <= best_fit
 
 
 def _best(counts: list[int], room: int) -> int:
