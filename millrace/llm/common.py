@@ -57,15 +57,25 @@ def _remove_all() -> None:
             _written.discard(path)
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """A folder of the shared one that is removed when this process ends, if not before."""
+    if not _written:
+        atexit.register(_remove_all)
+    _written.add(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing lazy may still read."""
+    _remove(spark, path)
+
+
 class Table:
     """A table written to the shared folder: it cuts lineage and outlives lost executors."""
 
     def __init__(self, df: DataFrame, *by: str):
-        if not _written:
-            atexit.register(_remove_all)
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/millrace-{uuid.uuid4().hex}"
-        _written.add(self.path)
+        self.path = until_exit(self.spark, f"{shared_dir(self.spark)}/millrace-{uuid.uuid4().hex}")
         self.schema = df.schema
         df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path)
 
