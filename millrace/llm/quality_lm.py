@@ -12,15 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .blobs import by_shard, pack, shard_of, unpack
+from .blobs import SCHEMA, by_shard, pack, shard_of, unpack
 from .common import Table, as_text, doc_id, fresh, join_small, mix, pieces, shards, text_bytes, text_hash, worker, written
 
 ORDER = 5
-#: The most trusted documents that the model is fitted on, those with the least hashes of their ids; one in CALIBRATE, and all beyond, calibrate only.
-MAX_TRUSTED, CALIBRATE = 1_000_000, 5
+#: Of the trusted documents one in CALIBRATE, by the hash of its id, calibrates and isn't trained on; all others are.
+CALIBRATE = 5
 #: The quantile of the calibrating documents' log perplexity in a language above which a document is rejected, read to the next 1/GRID bit above it.
 HIGH, GRID = 0.995, 4096
 PACK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+#: Bits of the bitmap of training ids for each of them, and at most (16 MB). Documents that it doesn't have aren't shuffled; those that it has by chance are, and are left out then.
+ID_BITS, MAX_BITS = 32, 1 << 27
 _SEGMENT = 1 << 20
 
 
@@ -69,40 +71,100 @@ def _distinct(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
+def _frozen(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about PACK_BYTES of text, which is the second column."""
+    held, size = [], 0
+    for b in pieces(batches):
+        held.append(b)
+        size += pc.sum(pc.binary_length(as_text(b.column(1)))).as_py()
+        if size > PACK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _packs(n: int):
-    """Packs of documents: their texts, their n-grams as requests to the shards, and counts of those in training texts."""
+    """Packs of documents: their texts, and their n-grams as requests to the shards."""
 
     def rows(kind: str, name: str, batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(b)), pa.array([name] * len(b)), b.column(0), b.column(1)], ["kind", "pack", "shard", "blob"])
 
-    def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        name = uuid.uuid4().hex
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as w:
-            w.write_table(t)
-        yield pa.RecordBatch.from_arrays([pa.array(["docs"]), pa.array([name]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["kind", "pack", "shard", "blob"])
-        padded, at = _padded(t.column(1))
-        keys = _distinct(padded, at)
-        yield from rows("asked", name, by_shard(_shard(keys, n), [keys.view(np.int64)]))
-        trains = t.column(4).to_numpy() == 1
-        if trains.any():
-            padded, at = _padded(t.filter(pa.array(trains)).column(1))
-            parts = [np.unique(k, return_counts=True) for k, _ in _segments(padded, at)]
-            keys, counts = _summed([p[0] for p in parts], [p[1] for p in parts])
-            yield from rows("count", name, by_shard(_shard(keys, n), [keys.view(np.int64), counts.astype(np.int64)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches):
+            name = uuid.uuid4().hex
+            yield pa.RecordBatch.from_arrays([pa.array(["docs"]), pa.array([name]), pa.array([-1], pa.int32()), pa.array([_frozen(t)], pa.binary())], ["kind", "pack", "shard", "blob"])
+            padded, at = _padded(t.column(1))
+            keys = _distinct(padded, at)
+            yield from rows("asked", name, by_shard(_shard(keys, n), [keys.view(np.int64)]))
+
+    return run
+
+
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of docs (doc_id, text) those that a bitmap of the ids (__mr_doc) has: all that are among the ids, and some that aren't. What is broadcast has at most MAX_BITS."""
+    bits = min(MAX_BITS, 1 << (ID_BITS * ids.count()).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmap = ids.groupBy(F.bitmap_bucket_number(slot("__mr_doc")).alias("__mr_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("__mr_doc"))).alias("__mr_bits"))
+    d = docs.where("doc_id IS NOT NULL").withColumn("__mr_at", F.bitmap_bit_position(slot("doc_id")).cast("int"))
+    d = d.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("__mr_bucket"))
+    return d.where("shiftright(CAST(conv(hex(substr(__mr_bits, CAST(__mr_at DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), __mr_at % 8) & 1 = 1").select("doc_id", "text")
+
+
+def _part(ids: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    return shard_of(mix(ids.to_numpy()), n)
 
+
+def _ids_by_part(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in pieces(batches):
-            held.append(b)
-            size += pc.sum(pc.binary_length(as_text(b.column(1)))).as_py()
-            if size > PACK_BYTES:
-                yield from emit(held)
-                held, size = [], 0
-        if held:
-            yield from emit(held)
+        for b in batches:
+            yield from by_shard(_part(b.column(0), n), [b.column(0).to_numpy()])
+
+    return run
+
+
+def _texts_by_part(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches):
+            part = _part(t.column(0), n)
+            order = np.argsort(part, kind="stable")
+            t, (parts, start) = t.take(pa.array(order)).combine_chunks(), np.unique(part[order], return_index=True)
+            ends = [*start[1:].tolist(), len(order)]
+            for p, i, j in zip(parts.tolist(), start.tolist(), ends):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_frozen(t.slice(i, j - i))], pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _counts(n: int):
+    """Counts of the n-grams in the texts of a part whose ids are among the part's, which come first."""
+
+    def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known = [], None
+        for b in batches:
+            for first, blob in zip(b.column(0).to_pylist(), b.column(2)):
+                raw = blob.as_buffer().to_pybytes()
+                if first == 0:
+                    ids.append(unpack(raw)[0])
+                    continue
+                known = np.concatenate([np.empty(0, np.int64), *ids]) if known is None else known
+                t = pa.ipc.open_stream(raw).read_all()
+                yield from t.filter(pa.array(np.isin(t.column(0).to_numpy(), known))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(training(batches)):
+            padded, at = _padded(t.column(1))
+            parts = [np.unique(k, return_counts=True) for k, _ in _segments(padded, at)]
+            keys, counts = _summed([p[0] for p in parts], [p[1] for p in parts])
+            yield from by_shard(_shard(keys, n), [keys.view(np.int64), counts.astype(np.int64)])
 
     return run
 
@@ -250,7 +312,7 @@ def _answers(shared):
     return run
 
 
-_SCORED = "doc_id long, th long, lang string, role int, n_bytes long, log2_ppl double"
+_SCORED = "doc_id long, th long, lang string, n_bytes long, log2_ppl double"
 
 
 def _score(n: int):
@@ -269,7 +331,7 @@ def _score(n: int):
             pos, total = pos + len(k), run[-1] if len(k) else total
         with np.errstate(invalid="ignore"):
             ppl = -np.diff(sums, prepend=0.0) / size
-        return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(2).combine_chunks(), t.column(3).combine_chunks(), t.column(4).combine_chunks(), pa.array(size), pa.array(ppl, mask=size == 0)], ["doc_id", "th", "lang", "role", "n_bytes", "log2_ppl"])
+        return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(2).combine_chunks(), t.column(3).combine_chunks(), pa.array(size), pa.array(ppl, mask=size == 0)], ["doc_id", "th", "lang", "n_bytes", "log2_ppl"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, docs, answers = None, None, []
@@ -290,30 +352,39 @@ def _score(n: int):
     return run
 
 
-def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """(__mr_doc, __mr_role): documents that all their labels call good and not toxic; role 1 trains, at most so many, and all others, 2, calibrate."""
+def trusted(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(__mr_doc, __mr_role): documents that all their labels call good and not toxic; role 2, one in CALIBRATE, calibrates, and all others, 1, train.
+
+    Given most, only so many train, those with the least hashes, and the rest calibrates, too.
+    """
     ids = labels.groupBy(doc_id(labels, "doc_id").alias("__mr_doc")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND __mr_doc IS NOT NULL")
     ids = ids.select("__mr_doc", F.xxhash64("__mr_doc").alias("h"))
-    training = ids.where(F.pmod("h", F.lit(CALIBRATE)) != 0).orderBy("h", "__mr_doc").limit(most).select(F.col("__mr_doc").alias("__mr_trains"))
+    trains = F.pmod("h", F.lit(CALIBRATE)) != 0
+    if most is None:
+        return ids.select("__mr_doc", F.when(trains, 1).otherwise(2).alias("__mr_role"))
+    training = ids.where(trains).orderBy("h", "__mr_doc").limit(most).select(F.col("__mr_doc").alias("__mr_trains"))
     return ids.join(training, F.col("__mr_doc") == F.col("__mr_trains"), "left").select("__mr_doc", F.when(F.col("__mr_trains").isNull(), 2).otherwise(1).alias("__mr_role"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRUSTED) -> DataFrame | None:
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int | None = None) -> DataFrame | None:
     """(doc_id, th, lang, role, n_bytes, log2_ppl) for each row, from written scores; None if no trusted document is among docs."""
     spark = docs.sparkSession
     ids = written(trusted(labels, most))
     d = docs.select(doc_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    # bounded by the documented limit, so they may be broadcast at every size; those that calibrate aren't, and are joined to the scores
-    d = d.join(F.broadcast(ids.where("__mr_role = 1")), F.col("doc_id") == F.col("__mr_doc"), "left").select("doc_id", "text", "th", "lang", F.coalesce("__mr_role", F.lit(0)).alias("role"))
     n = shards(spark, text_bytes(docs, text_col), SHARD_BYTES)
-    packs = Table(d.transform(worker, _packs(n), "kind string, pack string, shard int, blob binary"), "kind")
-    counted = Table(packs.read().where("kind = 'count'").select("shard", "blob").repartitionById(n, F.col("shard")).transform(worker, _count_shard, "what int, key long, n long, blob binary"))
+    # training ids grow with the table, so they meet their texts by a shuffle at every size
+    training = ids.where("__mr_role = 1").select("__mr_doc")
+    texts = _maybe(d.select("doc_id", "text"), training).transform(worker, _texts_by_part(n), SCHEMA).select(F.lit(1).alias("first"), "shard", "blob")
+    chosen = training.transform(worker, _ids_by_part(n), SCHEMA).select(F.lit(0).alias("first"), "shard", "blob").union(texts)
+    counts = chosen.repartitionById(n, F.col("shard")).sortWithinPartitions("first").transform(worker, _counts(n), SCHEMA)
+    counted = Table(counts.repartitionById(n, F.col("shard")).transform(worker, _count_shard, "what int, key long, n long, blob binary"))
     sums = counted.read().where("what >= 0").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # at most 2^24 runs of three bytes and 8 numbers
     if not len(sums):
         return None
     own = sums[sums.what == 0]
     low = Low.fit(own.key.to_numpy().astype(np.uint64), own.n.to_numpy(), {k: sums[sums.what == k].n.to_numpy() for k in range(4, ORDER + 1)})
     low = spark.sparkContext.broadcast(low)
+    packs = Table(d.transform(worker, _packs(n), "kind string, pack string, shard int, blob binary"), "kind")
     model = counted.read().where("what = -1").select(F.lit(0).alias("first"), F.lit("").alias("pack"), F.col("key").cast("int").alias("shard"), "blob")
     asked = packs.read().where("kind = 'asked'").select(F.lit(1).alias("first"), "pack", "shard", "blob")
     answers = model.union(asked).repartitionById(n, F.col("shard")).sortWithinPartitions("first").transform(worker, _answers(low), "pack string, shard int, blob binary")
@@ -321,9 +392,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     scored = Table(texts.union(answers).repartition(n, "pack").sortWithinPartitions("pack", "shard").transform(worker, _score(n), _SCORED))
     packs.drop()
     counted.drop()
-    calibrating = written(ids.where("__mr_role = 2").select("__mr_doc"))
-    s = join_small(scored.read(), calibrating, F.col("doc_id") == F.col("__mr_doc"), "left")
-    return s.select("doc_id", "th", "lang", F.when(F.col("__mr_doc").isNotNull(), 2).otherwise(F.col("role")).cast("int").alias("role"), "n_bytes", "log2_ppl")
+    s = join_small(scored.read(), ids, F.col("doc_id") == F.col("__mr_doc"), "left")
+    return s.select("doc_id", "th", "lang", F.coalesce("__mr_role", F.lit(0)).cast("int").alias("role"), "n_bytes", "log2_ppl")
 
 
 def limits(scored: DataFrame) -> DataFrame:
@@ -339,16 +409,16 @@ def limits(scored: DataFrame) -> DataFrame:
     return c.union(every).select("lang", "bucket", upto.alias("upto"), total.alias("total")).where(F.col("upto") >= F.lit(HIGH) * F.col("total")).groupBy("lang").agg((F.min("bucket") / GRID).alias("most"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int | None = None) -> DataFrame:
     """One row (doc_id, th, lang, n_bytes, perplexity, rejected) for each row of docs.
 
     The model is of bytes, order ORDER, interpolated modified Kneser-Ney, over all bytes of the trusted documents: those whose labels all
-    say quality 1 and toxic 0. One in CALIBRATE isn't trained on, nor what is beyond MAX_TRUSTED of the rest; the quantile HIGH of all these per language
-    is the limit above which a document is rejected. The perplexity is per byte, over the whole text.
+    say quality 1 and toxic 0. One in CALIBRATE isn't trained on; the quantile HIGH of all these per language
+    is the limit above which a document is rejected. All others are trained on, however many they are, unless most is given. The perplexity is per byte, over the whole text.
 
-    Packs of documents gather their distinct n-grams, all over the corpus; these requests and the training counts are joined shard by shard, a shard having all
+    The texts of training documents are joined with their ids by a shuffle, after a bitmap of bounded size has left out most others, and counted. Packs of documents gather their distinct n-grams, all over the corpus; these requests and the training counts are joined shard by shard, a shard having all
     n-grams whose contexts end in the same three bytes, and the answers go back to the packs. What moves grows with the input; what is
-    broadcast, the counts of runs of three bytes, has at most 2^24 entries.
+    broadcast, the counts of runs of three bytes and the bitmap, has at most 2^24 entries and 16 MB.
 
     Null and empty texts have a null perplexity and are rejected. A null language counts as "". Languages without calibrating documents
     go by the limit of all. Rows that repeat are scored alike; ids may be null, and have to be of a whole-number type (else a TypeError). Without any trusted document among docs nothing but

@@ -47,3 +47,25 @@ def test_limits_and_rejections_are_those_of_brute_force(spark):
     want = {r.doc_id: r.log2_ppl is None or r.log2_ppl > most[r.lang] for r in scored}
     got = {r.doc_id: r.rejected for r in q.classify(docs, labels).collect()}
     assert got == want and 0 < sum(want.values()) < len(want) / 2
+
+
+def test_all_trusted_documents_train_or_calibrate(spark):
+    """However many they are: more than a million train here."""
+    labels = spark.range(1_500_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    n = {r["__mr_role"]: r["count"] for r in q.trusted(labels).groupBy("__mr_role").count().collect()}
+    held_out = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(q.CALIBRATE)) == 0).count()
+    assert n == {1: 1_500_000 - held_out, 2: held_out} and n[1] > 1_000_000
+
+
+def test_ids_that_share_a_bit_are_not_trained_on(spark, monkeypatch):
+    """With a bitmap of a single bit every document is taken for a training one until the ids are compared."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id < 200").unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    ids = q.trusted(labels).where("__mr_role = 1").select("__mr_doc")
+    mine, texts = {r["__mr_doc"] for r in ids.collect()}, docs.select("doc_id", "text")
+    maybe = [r.doc_id for r in q._maybe(texts, ids).collect()]
+    assert mine & set(range(200)) <= set(maybe) and len(maybe) < 100
+    want = sorted(map(str, q.perplexities(docs, labels).collect()))
+    monkeypatch.setattr(q, "MAX_BITS", 1)
+    assert len(q._maybe(texts, ids).collect()) == 200
+    assert sorted(map(str, q.perplexities(docs, labels).collect())) == want
