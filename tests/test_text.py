@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import Cap, Operator, PermissionDenied, Policy, QueryError, ReadOnlyError, SchemaError
-from millrace.functions.text import tokenize
+from millrace.functions.text import CharEmbedder, Embedding, term_lists, tokenize, unlisted
 from millrace.operators.base import Middle, take, words_of
 from millrace.operators.builtins import BUILTINS, Grep, Sh
 from millrace.operators.registry import Registry
@@ -146,3 +148,39 @@ def test_more_schemas_that_are_refused():
     for bad in ({}, [], [1], OK * 2):
         with pytest.raises(SchemaError):
             parse_schema(bad)
+
+
+def test_texts_are_indexed_a_few_at_a_time(spark):
+    """However many rows a batch has: a worker holds the tokens and vectors of a part of them."""
+
+    class Sizes:
+        dim = 2
+
+        def embed(self, texts):
+            return [[len(texts), sum(map(len, texts))]] * len(texts)
+
+    rows = [(i, None if i % 50 == 0 else "é long text " * (1 + i % 40) if i else "x" * (3 << 20)) for i in range(1, 5000)] + [(5000, "y" * (3 << 20))]
+    got = Embedding(Sizes()).index(spark.createDataFrame(rows, "id long, said string").coalesce(1), ("said",)).collect()
+    assert [(r.id, r.said) for r in got] == rows and all((r._vec_said is None) == (r.said is None) for r in got)
+    assert max(r._vec_said[0] for r in got if r.said) <= 1024 and max(r._vec_said[1] for r in got if r.said and r.id < 5000) <= 2 << 20
+    assert all(r._tok_said == tokenize(r.said) for r in got if r.said)
+
+
+def test_postings_are_counted_where_rows_lie(spark):
+    rows = [(i, f"2024010{i % 3}", [f"w{j % (i + 2)}" for j in range(i % 17)]) for i in range(60)]
+    made = spark.createDataFrame(rows, "key long, ds string, tok array<string>").withColumn("dl", F.size("tok")).coalesce(1)
+    lists = term_lists(made)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    assert lists.count() == len({t for _, _, tok in rows for t in tok})
+    want = sorted((t, k, len(tok), ds, tok.count(t)) for k, ds, tok in rows for t in set(tok))
+    assert sorted(map(tuple, unlisted(lists).collect())) == want
+
+
+def test_fast_paths_of_tokens_and_characters():
+    texts = ["", "Plain words_here 12", "Ünïcode ñ", "混合 text 中文字 한국", "İ😀x", "\ud800a"]
+    for t in texts:
+        want = np.zeros(16, np.float32)
+        for c in t:
+            want[ord(c) % 16] += 1
+        assert CharEmbedder().embed([t])[0] == want.tolist()
+    assert tokenize(texts[3]) == ["混合", "text", "中文", "文字", "한국"] and tokenize(texts[1]) == ["plain", "words_here", "12"]
