@@ -133,3 +133,28 @@ def test_jq_runs_a_partition_at_a_time_if_it_may():
 
     jq = Jq()
     assert jq.by_row(jq.parse_args([".a | {b: .}"])) and not jq.by_row(jq.parse_args(["[., inputs]"])) and not jq.by_row(jq.parse_args(["limit(1; .a)"]))
+
+
+def test_a_rebuild_writes_few_files_for_many_days(spark, tmp_path):
+    """Not a file for each day in each task, nor 1 MB of filter in each; torn lines and repeated keys in the log are passed over."""
+    import json
+
+    for d in range(20):
+        path = tmp_path / f"files/ds=202401{d + 1:02}/items.jsonl"
+        path.parent.mkdir(parents=True)
+        line = lambda i, said: json.dumps({"id": i, "said": said, "ds": path.parent.name[3:], "created_at": f"{d:02}"}) + "\n"
+        path.write_text("".join(line(d * 50 + i, f"_deleted word{i} {'long ' * 4000}") for i in range(50)) + line(7, "again") + '[{"id": 5000, "said": "in a list"}]\n\n"text"\n{"id": 6000, "sa')
+    (tmp_path / "files/ds=20240131").mkdir()
+    (tmp_path / "files/ds=20240131/items.jsonl").write_text('{"_deleted": "3", "deleted_at": "x"}\n{"\\u005fdeleted": "4", "deleted_at": "y"}\n')
+    with Port.open(tmp_path, schema=ITEMS, embedder=CharEmbedder(), spark=spark) as p:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            done = p.wait(p.rebuild())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert done.state == "done" and done.stats["rows"] == 1000 and done.stats["tombstones"] == 2
+        files = list(p.store.generation.rglob("puts/**/*.parquet"))
+        assert len(files) < 8 * 20 * 0.7 and max(f.stat().st_size for f in files) < 400_000
+        assert p.query("SELECT id FROM _all_items WHERE deleted_ds IS NOT NULL ORDER BY id") == [{"id": 3}, {"id": 4}]
+        assert p.query("SELECT said FROM items WHERE id = 7")[0]["said"] != "again"
+        assert len(p.query("search items 'word7' --k 30")) == 30
