@@ -276,3 +276,46 @@ def test_stream_reshapes(cards, tmp_path):
         time.sleep(0.3)
     h.stop()
     assert [r["card_id"] for r in cards.query("SELECT card_id FROM cards WHERE kind = 'raw' ORDER BY card_id")] == ["r1", "r3", "r5"]
+
+
+def test_a_stream_lands_all_that_is_there_at_once(spark, tmp_path):
+    """Lines of many batches: few batches, and each key as it first came, by file and line."""
+    schema = [{"table": "logs", "columns": [{"name": "id", "type": "int"}, {"name": "said", "type": "str"}], "primary": "id"}]
+    line = lambda i, said: json.dumps({"id": i, "said": said}, ensure_ascii=False) + "\n"
+    (tmp_path / "a.log").write_text("".join(line(i % 400, f"é{i}") for i in range(600)) + '{"id": 9')
+    (tmp_path / "b.log").write_text("\n".join(line(i, "later") for i in range(500)))
+    want = {i: f"é{i}" for i in range(400)} | {i: "later" for i in range(400, 500)}
+    with Port.open(tmp_path / "p", schema=schema, spark=spark, policy=Policy(mode="sandboxed")) as p:
+        h = p.stream(f"watch '{tmp_path}/*.log' --poll-ms 20 | jq '{{id: .id, said: .said}}' | ingest logs --batch 50 --flush-ms 20", name="s")
+        h.drain()
+        assert h.query.lastProgress["batchId"] <= 1
+        with (tmp_path / "a.log").open("a") as f:
+            f.write('99, "said": "x"}\n' + "".join(line(i, "new") for i in range(450, 560)))
+        h.drain()
+        h.stop()
+        want |= {999: "x"} | {i: "new" for i in range(500, 560)}
+        assert {r["id"]: r["said"] for r in p.query("SELECT id, said FROM _all_logs")} == want and p.query("SELECT count(*) AS n FROM logs") == [{"n": len(want)}]
+        p.wait(p.rebuild())
+        assert {r["id"]: r["said"] for r in p.query("SELECT id, said FROM logs")} == want
+        files = len(list((tmp_path / "p/files").rglob("*.txt")))
+        (tmp_path / "c.log").write_text("".join(line(i, "z") for i in range(600, 700)) + '{"id": "no number"}\n')
+        h = p.stream(f"watch '{tmp_path}/*.log' --poll-ms 20 | ingest logs --batch 50 --flush-ms 20", name="s")
+        with pytest.raises(Exception, match="fit its column"):
+            h.drain()
+        assert p.query("SELECT count(*) AS n FROM logs") == [{"n": len(want)}] and len(list((tmp_path / "p/files").rglob("*.txt"))) == files
+
+
+def test_ranges_cut_within_lines_have_each_line_once(tmp_path, monkeypatch):
+    from millrace.streaming.follow import FollowAllReader, FollowReader
+
+    (tmp_path / "a.log").write_bytes("".join(f"é{'x' * (i % 9)}{i}\n" + "\n" * (i % 3) for i in range(80)).encode() + b"half")
+    (tmp_path / "b.log").write_bytes(b"one\r\n" + b"y" * 50 + b"\n")
+    for size in (1, 2, 7, 60, 10_000):
+        monkeypatch.setattr("millrace.streaming.follow.RANGE", size)
+        r = FollowAllReader(f"{tmp_path}/*.log")
+        end, simple = r.latestOffset(), FollowReader(f"{tmp_path}/*.log", 1000).read({})
+        rows = [x for part in r.partitions({}, end) for x in r.read(part)]
+        assert [(x,) for x, _ in rows] == list(simple[0]) and end == simple[1] and [p for _, p in rows] == sorted({p for _, p in rows})
+        cut = {str(tmp_path / "a.log"): len("é0\né".encode()) + 3}
+        assert [(x,) for part in r.partitions(cut, end) for x, _ in r.read(part)] == list(FollowReader("", 0).readBetweenOffsets(cut, end))
+    assert not r.partitions(end, end)
